@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 _UNITS = ["K", "M", "G", "T", "P"]
 
 
+def _number(value: Column, pattern: str) -> Column:
+    return F.call_function("format_number", value, F.lit(pattern))
+
+
 def _div(value: Column, by: int) -> Column:
     return F.call_function("div", value, F.lit(by))
 
@@ -40,9 +44,9 @@ def _scaled(value: Column) -> Column:
     for unit in _UNITS:
         scaled = scaled / 1000
         shown = (
-            F.when(scaled >= 100, F.format_number(scaled, "0"))
-            .when(scaled >= 10, F.format_number(scaled, "0.0"))
-            .otherwise(F.format_number(scaled, "0.00"))
+            F.when(scaled >= 100, _number(scaled, "0"))
+            .when(scaled >= 10, _number(scaled, "0.0"))
+            .otherwise(_number(scaled, "0.00"))
         )
         shown = F.concat(shown, F.lit(unit))
         # Not below 1000 at the last unit: it takes whatever is left.
@@ -62,8 +66,8 @@ def si_integer(value: Column, plain: bool = False) -> Column:
 
 def si_rate(value: Column, plain: bool = False) -> Column:
     """Like si_integer for a rate: whole numbers without, others with one decimal."""
-    small = F.when(value == F.floor(value), F.format_number(value, "0")).otherwise(
-        F.format_number(value, "0.0")
+    small = F.when(value == F.floor(value), _number(value, "0")).otherwise(
+        _number(value, "0.0")
     )
     shown = F.when(value < 0, "-").when(value == 0, "0")
     if plain:
@@ -71,9 +75,13 @@ def si_rate(value: Column, plain: bool = False) -> Column:
     return shown.when(value < 1000, small).otherwise(_scaled(value))
 
 
+def decimals(value: Column, places: int) -> Column:
+    return _number(value, "0." + "0" * places)
+
+
 def ratio_text(value: Column) -> Column:
     """Two decimals, "-" for zero."""
-    return F.when(value > 0, F.format_number(value, "0.00")).otherwise("-")
+    return F.when(value > 0, _number(value, "0.00")).otherwise("-")
 
 
 def config_text(key: Column, value: Column) -> Column:
@@ -84,8 +92,8 @@ def config_text(key: Column, value: Column) -> Column:
     is_ms = key.endswith(".ms") & value.rlike("^[+-]?[0-9]+$") & ms.isNotNull()
     longer = (
         F.when(days >= 1, F.concat(F.floor(days).cast("string"), F.lit(" days")))
-        .when(hours >= 1, F.concat(F.format_number(hours, "0.0"), F.lit(" hours")))
-        .otherwise(F.concat(F.format_number(minutes, "0.0"), F.lit(" min")))
+        .when(hours >= 1, F.concat(_number(hours, "0.0"), F.lit(" hours")))
+        .otherwise(F.concat(_number(minutes, "0.0"), F.lit(" min")))
     )
     return F.when(is_ms, F.concat(value, F.lit(" ("), longer, F.lit(")"))).otherwise(value)
 

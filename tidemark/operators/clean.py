@@ -137,3 +137,16 @@ def topic_usage(prepared: Prepared) -> DataFrame:
         "n_groups",
         F.coalesce("n_partitions", F.lit(0)).alias("n_partitions"),
     )
+
+
+def error_rows(tables: LagTables) -> DataFrame:
+    """What the scans leave out, for those who want to see it."""
+    return (
+        tables.topic_offsets.filter(F.col("error").isNotNull())
+        .select("snapshot_id", F.lit("topic").alias("kind"), "topic", "partition", "error")
+        .unionByName(
+            tables.group_offsets.filter(F.col("error").isNotNull()).select(
+                "snapshot_id", F.lit("group").alias("kind"), "topic", "partition", "error"
+            )
+        )
+    )

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas as S
 from tidemark.operators.clean import Prepared, topic_groups
-from tidemark.operators.ordering import exact_middle, with_chunk
+from tidemark.operators.ordering import CHUNK, exact_middle, with_chunk
 
 _WIDE = "decimal(38,0)"
-_STATS = ["n_parts", "lag_min", "lag_max", "lag_sum", "lag_sq"]
 
 
 def lag_value(legacy: bool) -> Column:
@@ -85,52 +84,53 @@ def with_shape(df: DataFrame) -> DataFrame:
     )
 
 
+def _halfway(low: str, high: str, legacy: bool) -> Column:
+    """Mean of two values; cut to an integer, except in the legacy results. Without the
+    legacy flag both are >= 0."""
+    return F.expr(f"({low} + {high}) / 2" if legacy else f"{low} + ({high} - {low}) div 2")
+
+
+def _with_median(grouped, legacy: bool, keep: bool = False) -> DataFrame:
+    """Statistics and median of groups of at most CHUNK rows."""
+    stats = grouped.agg(*stat_columns(), F.sort_array(F.collect_list("lag")).alias("v"))
+    middle = _halfway("v[cast((n_parts - 1) div 2 as int)]", "v[cast(n_parts div 2 as int)]", legacy)
+    stats = stats.withColumn("lag_median", middle)
+    return stats if keep else stats.drop("v")
+
+
 def lag_stats(prepared: Prepared, median: bool = True) -> DataFrame:
     """One row per snapshot, group and topic that has at least one lag.
 
     Without the median every statistic is a mergeable aggregate. The median needs the
-    values: they are collected per chunk of partition ids, at most CHUNK of them; a topic
-    with more partitions than that goes through `exact_middle`, which collects nothing.
+    values. Where the largest partition id shows that no topic has more than CHUNK of
+    them, they are collected; otherwise per chunk of partition ids, and a topic with
+    several chunks goes through `exact_middle`, which collects nothing.
     """
     lags = partition_lag(prepared)
     legacy = prepared.options.legacy
     if not median:
         stats = lags.groupBy(*S.STATS_KEY).agg(*stat_columns())
+    elif (prepared.end_offsets.agg(F.max("partition")).first()[0] or 0) < CHUNK:
+        # Checked: no topic has more than CHUNK partitions, so no list is longer.
+        stats = _with_median(lags.groupBy(*S.STATS_KEY), legacy)
     else:
-
-        def halfway(low, high):
-            # Without the legacy flag both are >= 0 and the mean is cut to an integer.
-            return F.expr(f"({low} + {high}) / 2" if legacy else f"{low} + ({high} - {low}) div 2")
-
-        chunks = (
-            with_chunk(lags)
-            .groupBy(*S.STATS_KEY, "chunk")
-            .agg(*stat_columns(), F.sort_array(F.collect_list("lag")).alias("v"))
-            .withColumn("chunk_median", halfway("v[(n_parts - 1) div 2]", "v[n_parts div 2]"))
-        )
+        chunks = _with_median(with_chunk(lags).groupBy(*S.STATS_KEY, "chunk"), legacy, keep=True)
         merged = chunks.groupBy(*S.STATS_KEY).agg(
             *merge_columns(),
             F.count("*").alias("n_chunks"),
-            F.max("chunk_median").alias("chunk_median"),
-        )
-        wide = (
-            chunks.join(
-                merged.filter("n_chunks > 1").select(*S.STATS_KEY), S.STATS_KEY, "left_semi"
-            )
-            .select(*S.STATS_KEY, F.explode("v").alias("lag"))
+            F.max("lag_median").alias("only_median"),
         )
+        wide = chunks.join(
+            merged.filter("n_chunks > 1").select(*S.STATS_KEY), S.STATS_KEY, "left_semi"
+        ).select(*S.STATS_KEY, F.explode("v").alias("lag"))
         wide = exact_middle(wide, S.STATS_KEY, "lag").select(
-            *S.STATS_KEY, halfway("low", "high").alias("wide_median")
+            *S.STATS_KEY, _halfway("low", "high", legacy).alias("wide_median")
         )
+        median_of = F.when(F.col("n_chunks") == 1, F.col("only_median"))
         stats = (
             merged.join(wide, S.STATS_KEY, "left")
-            .withColumn(
-                "lag_median",
-                F.when(F.col("n_chunks") == 1, F.col("chunk_median")).otherwise(
-                    F.col("wide_median")
-                ),
-            )
-            .drop("n_chunks", "chunk_median", "wide_median")
+            .withColumn("lag_median", median_of.otherwise(F.col("wide_median")))
+            .drop("n_chunks", "only_median", "wide_median")
         )
     if legacy:
         # A topic without any lag still has a row, of zeros.

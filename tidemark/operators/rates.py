@@ -154,7 +154,13 @@ def group_rates(prepared: Prepared, with_lag: bool = True) -> DataFrame:
         (F.round(rate, 3) if legacy else rate).alias("consumption_rate"),
         *[F.col(f"_second.{c}").alias(c) for c in lag_columns],
     )
-    return with_shape(pairs) if with_lag else pairs
+    if not with_lag:
+        return pairs
+    shaped = with_shape(pairs)
+    # Nothing committed: the pair has no lag statistics at all.
+    for name in ("par", "cv", "n_parts"):
+        shaped = shaped.withColumn(name, F.when(F.col("n_parts") > 0, F.col(name)))
+    return shaped
 
 
 def topic_totals(prepared: Prepared) -> DataFrame:
@@ -230,7 +236,7 @@ def rates(prepared: Prepared) -> DataFrame:
     arrivals = arrival_rates(prepared).drop("events_arrived")
     if options.legacy:
         pairs = pairs.join(arrivals, [*_PAIR, "topic"])
-        pairs = pairs.na.fill(0, ["n_parts", "lag_min", "lag_max", "lag_sum", "lag_mean"])
+        pairs = pairs.na.fill(0, ["n_parts", "lag_min", "lag_max", "lag_sum", "lag_mean", "par", "cv"])
         # The first-generation tool knows the simple ETA only, and keeps the fraction.
         remaining = F.when(used > 0, lag / used).otherwise(-1.0)
         text = legacy_hms(F.col("remaining_sec"))

@@ -43,10 +43,7 @@ def report(prepared: Prepared) -> DataFrame:
     issue = health.has_issues(eta, lag, arriving)
     if options.legacy:
         issue = health.eta_status(eta)["status"] != "OK"
-    rows = rates(prepared).filter("n_parts is not null")
-    if not options.legacy:
-        rows = rows.filter("n_parts > 0")
-    rows = rows.select(
+    rows = rates(prepared).filter("n_parts is not null").select(
         "snapshot_id",
         "prev_snapshot_id",
         "group_id",
@@ -204,7 +201,7 @@ def shown_report(rows: DataFrame, plain: bool = False) -> DataFrame:
         "shown_group",
         "shown_topic",
         F.col("parts").cast("string").alias("parts"),
-        F.format_number("since", "0.0").alias("since"),
+        text.decimals(F.col("since"), 1).alias("since"),
         text.si_integer(F.col("consumed"), plain).alias("consumed"),
         text.si_integer(F.col("new_rate"), plain).alias("new_rate"),
         text.si_integer(F.col("cons_rate"), plain).alias("cons_rate"),
