@@ -559,6 +559,18 @@ def oracle_sql() -> dict[str, str]:
             _METADATA,
         ),
     }
+    closed = "snapshot_id < (select max(snapshot_id) from snaps)"
+    sql["x1_streaming_lag"] = _query(
+        f"select {key}, n_parts, lag_min, lag_max, lag_sum, par, cv from lag_stats where {closed}",
+        full,
+    )
+    sql["x2_streaming_rates"] = _query(
+        f"""select snapshot_id, prev_snapshot_id, group_id, topic,
+        cast(86400 as double) as time_delta, events_consumed, cons as consumption_rate,
+        arr as arrival_rate, lag_sum, remaining_sec, remaining_hms from rates where {closed}""",
+        full,
+    )
+    sql["x3_poll_loop"] = sql["r1_report"]
     # The JSON forms hold the same values.
     sql["o1_summary_json"] = sql["r3_summary"]
     sql["o2_status_json"] = sql["r2_status"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,14 @@ from tidemark.session import shared_dir
 from tidemark.sources import tables as scans
 from tidemark.sources.logs import committed_offsets_from_log
 from tidemark.sources.tables import LagTables
-from tidemark.workload.views import Views, stored_tables
+from tidemark.streaming import windows
+from tidemark.streaming.loop import SnapshotLoop, append_parquet
+from tidemark.workload.views import (
+    Views,
+    stored_folder,
+    stored_snapshot_rows,
+    stored_tables,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 _registry: dict[str, Query] = {}
@@ -526,5 +534,52 @@ def t2_topic_info_parts(t):
     )
 
 
+# streams, run to their end; the last poll stays open until a later one arrives
+
+DAY = 86400
+
+
+def _fresh(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4()}"
+
+
+def _finished(result: DataFrame) -> DataFrame:
+    spark, folder = result.sparkSession, _fresh(result.sparkSession)
+    append_parquet(result, folder).awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+def x1_streaming_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = stored_folder(spark, sf_dir)
+    offsets = [
+        scans.stream_table(spark, name, f"{folder}/{name}")
+        for name in ("group_offsets", "topic_offsets")
+    ]
+    rows = windows.snapshot_rows(*offsets, DAY, "0 seconds").filter("group_id <> 'g-empty'")
+    return _finished(windows.streaming_lag(rows)).drop("lag_mean")
+
+
+def _row_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = stored_snapshot_rows(spark, sf_dir)
+    return spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+
+
+def x2_streaming_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _finished(windows.streaming_rates(_row_stream(spark, sf_dir), DAY, "0 seconds"))
+
+
+def x3_poll_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch report of every pair, fed by a stream through foreachBatch."""
+    loop = SnapshotLoop(lambda t: reports.report(prepare(t)), _fresh(spark))
+    query = loop.run(_row_stream(spark, sf_dir))
+    query.awaitTermination()
+    loop.finish(spark, query.lastProgress["batchId"])
+    return loop.results(spark)
+
+
+for _query in (x1_streaming_lag, x2_streaming_rates, x3_poll_loop):
+    _registry[_query.__name__] = _query
+
+
 def queries() -> dict[str, Query]:
     return dict(_registry)

@@ -287,3 +287,25 @@ def stored_tables(spark: SparkSession, sf_dir: str, spread: str = "user_id") ->
         "captured_at", F.timestamp_micros("captured_us")
     )
     return LagTables(**{**vars(tables), "snapshots": index})
+
+
+def stored_folder(spark: SparkSession, sf_dir: str) -> str:
+    stored_tables(spark, sf_dir)
+    return _stored[(spark.sparkContext.applicationId, sf_dir, "user_id")]
+
+
+_written: set[str] = set()
+
+
+def stored_snapshot_rows(spark: SparkSession, sf_dir: str) -> str:
+    """Input of the streaming queries: committed and end offset in one row."""
+    tables = stored_tables(spark, sf_dir)
+    folder = f"{stored_folder(spark, sf_dir)}/snapshot_rows"
+    if folder not in _written:
+        ends = tables.topic_offsets.filter("error is null").select(
+            "snapshot_id", "topic", "partition", "end_offset"
+        )
+        rows = tables.group_offsets.filter("error is null and group_id <> 'g-empty'").drop("error")
+        rows.join(ends, ["snapshot_id", "topic", "partition"], "left").write.parquet(folder)
+        _written.add(folder)
+    return folder
