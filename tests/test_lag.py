@@ -6,7 +6,6 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tidemark import Options
-from tidemark.operators import lag as lag_module
 from tidemark.operators import ordering
 from tidemark.operators.clean import prepare, topic_usage
 from tidemark.operators.lag import lag_stats, partition_lag
@@ -81,7 +80,6 @@ def test_rows_with_errors_do_not_count(make, median):
 @pytest.mark.parametrize("chunk", [4096, 3])
 def test_against_brute_force(make, monkeypatch, chunk):
     """Random groups; with a tiny chunk every topic takes the way of the wide ones."""
-    monkeypatch.setattr(lag_module, "CHUNK", chunk)
     monkeypatch.setattr(ordering, "CHUNK", chunk)
     rng = random.Random(7)
     ends = {t: {p: rng.choice([5, 50, 10**15]) + rng.randrange(9) for p in range(n)} for t, n in

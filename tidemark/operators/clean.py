@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import schemas as S
+from tidemark.operators import ordering
 from tidemark.options import Options
 from tidemark.sources.snapshots import snapshot_index
 from tidemark.sources.tables import (
@@ -76,9 +77,9 @@ class Prepared:
         return self.committed.filter(F.col("committed_offset").isNotNull())
 
     @property
-    def requested(self) -> DataFrame:
-        """The partitions whose end offsets are looked at: those that some kept group has
-        committed. Group filters shrink this set, and with it a topic's arrival rate."""
+    def asked(self) -> DataFrame:
+        """The partitions whose end offsets are looked at, once per group that has them.
+        Group filters shrink this set, and with it a topic's arrival rate."""
         if self.options.legacy:
             # The first-generation tool asks for the partitions of one group per topic,
             # the first in group order.
@@ -86,7 +87,17 @@ class Prepared:
                 F.min("group_id").alias("group_id")
             )
             return self.committed.join(first, S.STATS_KEY, "left_semi").select(*S.PARTITION_KEY)
-        return self.offsets.select(*S.PARTITION_KEY).distinct()
+        return self.offsets.select(*S.PARTITION_KEY)
+
+    @property
+    def requested(self) -> DataFrame:
+        return self.asked.distinct()
+
+    def is_narrow(self) -> bool:
+        """Whether every topic is known to have at most CHUNK partitions: partition ids
+        count from 0, so their maximum tells. One narrow column is read."""
+        top = self.end_offsets.agg(F.max("partition")).first()[0]
+        return top is None or top < ordering.CHUNK
 
 
 def prepare(tables: LagTables, options: Options = Options()) -> Prepared:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas as S
 from tidemark.operators.clean import Prepared, topic_groups
-from tidemark.operators.ordering import CHUNK, exact_middle, with_chunk
+from tidemark.operators.ordering import exact_middle, with_chunk
 
 _WIDE = "decimal(38,0)"
 
@@ -110,8 +110,7 @@ def lag_stats(prepared: Prepared, median: bool = True) -> DataFrame:
     legacy = prepared.options.legacy
     if not median:
         stats = lags.groupBy(*S.STATS_KEY).agg(*stat_columns())
-    elif (prepared.end_offsets.agg(F.max("partition")).first()[0] or 0) < CHUNK:
-        # Checked: no topic has more than CHUNK partitions, so no list is longer.
+    elif prepared.is_narrow():  # no list is longer than CHUNK
         stats = _with_median(lags.groupBy(*S.STATS_KEY), legacy)
     else:
         chunks = _with_median(with_chunk(lags).groupBy(*S.STATS_KEY, "chunk"), legacy, keep=True)

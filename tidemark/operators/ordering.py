@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import shared_dir
+from tidemark.session import fixed
 
 # 21 bits per level: no window below holds more than 2**22 rows, for any bigint.
 _DIGIT = 21
@@ -91,12 +91,10 @@ def with_position(
     they are read twice and both readings must see the same numbering. What is added per
     row is the number of rows of its group in earlier sort ranges.
     """
-    shared_dir(df.sparkSession)
-    ranged = (
+    ranged = fixed(
         df.orderBy(*within, *order)
         .withColumn("_id", F.monotonically_increasing_id())
         .withColumn("_range", F.shiftright("_id", 33))
-        .checkpoint()
     )
     extents = ranged.groupBy("_range", *within).agg(
         F.min("_id").alias("_first"), F.count("*").alias("_n")

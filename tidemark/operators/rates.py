@@ -172,7 +172,7 @@ def topic_totals(prepared: Prepared) -> DataFrame:
     ends = prepared.end_offsets.select(
         *S.PARTITION_KEY, "end_offset", F.lit(False).alias("requested")
     )
-    asked = prepared.requested.select(
+    asked = prepared.asked.select(
         *S.PARTITION_KEY,
         F.lit(None).cast("bigint").alias("end_offset"),
         F.lit(True).alias("requested"),
@@ -271,9 +271,10 @@ def rates(prepared: Prepared) -> DataFrame:
     )
 
 
-def partition_history(prepared: Prepared) -> DataFrame:
+def partition_history(prepared: Prepared, placed: bool = False) -> DataFrame:
     """Rows of the second snapshot of every pair that have a lag, with the rate since the
-    first snapshot (0 where that one lacks the partition)."""
+    first snapshot (0 where that one lacks the partition). `placed` keeps block and chunk,
+    by which the rows are distributed."""
     seconds = _delta("captured_us", "near_us")
     moved = F.col("committed_offset") - F.col("near_offset")
     adjacent = F.col("near_seq") == F.col("snapshot_seq") - 1
@@ -287,7 +288,15 @@ def partition_history(prepared: Prepared) -> DataFrame:
         .withColumn(
             "rate", F.coalesce(F.when(adjacent & (seconds != 0), moved / seconds), F.lit(0.0))
         )
-        .select(*S.STATS_KEY, "partition", "committed_offset", "end_offset", "lag", "rate")
+        .select(
+            *S.STATS_KEY,
+            "partition",
+            "committed_offset",
+            "end_offset",
+            "lag",
+            "rate",
+            *(["block", "chunk"] if placed else []),
+        )
     )
 
 

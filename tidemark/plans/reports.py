@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import schemas as S
@@ -12,6 +12,7 @@ from tidemark.operators.lag import lag_stats
 from tidemark.operators.ordering import with_position
 from tidemark.operators.rates import partition_history, rates
 from tidemark.options import Options, check_pattern
+from tidemark.session import fixed
 from tidemark.sources.tables import config_maps, topic_scan
 
 # Sort key -> (column, descending by default).
@@ -152,6 +153,7 @@ def page(
 ) -> DataFrame:
     """Rows offset .. offset+size-1 of the sorted report. An offset beyond the end shows
     the last row. first_row, last_row, n_rows and percent describe the window."""
+    rows = fixed(rows)  # counted, then sorted
     total = rows.count()
     start = max(0, min(offset, total - 1))
     end = min(start + size, total)
@@ -320,16 +322,23 @@ def partition_detail(
     prepared: Prepared, topic_partitions: DataFrame | None = None
 ) -> DataFrame:
     """Offsets, lag, rate, rank within the topic and placement of every partition with a
-    lag. The range of a topic is a mergeable aggregate joined back, not a window over all
-    of its partitions."""
-    rows = partition_history(prepared)
-    ranges = rows.groupBy(*S.STATS_KEY).agg(
-        F.min("lag").alias("lag_low"),
-        F.max("lag").alias("lag_high"),
-        F.min("rate").alias("rate_low"),
-        F.max("rate").alias("rate_high"),
-    )
-    rows = rows.join(ranges, S.STATS_KEY)
+    lag.
+
+    The rank needs the range of lag and rate over the topic. Topics of at most CHUNK
+    partitions lie together already, so a window adds no shuffle; otherwise the range is a
+    mergeable aggregate that is joined back.
+    """
+    ranges = [("lag_low", "lag", F.min), ("lag_high", "lag", F.max)]
+    ranges += [("rate_low", "rate", F.min), ("rate_high", "rate", F.max)]
+    if prepared.is_narrow():
+        rows = partition_history(prepared, placed=True)
+        topic = Window.partitionBy("block", "chunk", *S.STATS_KEY)
+        for name, column, edge in ranges:
+            rows = rows.withColumn(name, edge(column).over(topic))
+    else:
+        rows = partition_history(prepared)
+        edges = [edge(column).alias(name) for name, column, edge in ranges]
+        rows = rows.join(rows.groupBy(*S.STATS_KEY).agg(*edges), S.STATS_KEY)
     if topic_partitions is not None:
         placed = topic_scan(topic_partitions).filter(F.col("partition_error").isNull())
         rows = rows.join(

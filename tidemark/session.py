@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RECOMMENDED_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -41,3 +42,16 @@ def shared_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """Compute once, keep the rows in the shared folder and cut the lineage: for small
+    results that several parts of a plan read."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast after counting. Size estimates do not know that an aggregate is small, so
+    without this the large side of the join would be shuffled for nothing."""
+    return F.broadcast(df) if df.count() <= max_rows else df

@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.snapshots import BROADCAST_POLLS
 
-def _extent(snapshots: DataFrame):
-    """First and last time, last number, and the mean poll period, as four scalars."""
+
+def _extent(snapshots: DataFrame) -> tuple[int, int, int]:
+    """First time, last number and mean poll period: three numbers on the driver."""
     first, last, last_seq = snapshots.agg(
         F.min("captured_us"), F.max("captured_us"), F.max("snapshot_seq")
     ).first()
@@ -20,7 +22,7 @@ def _extent(snapshots: DataFrame):
     return first, last_seq, max(1, (last - first) // max(1, last_seq))
 
 
-def _assign(log: DataFrame, time: Column, snapshots: DataFrame, first: int, period: int):
+def _assign(log: DataFrame, time: Column, snapshots: DataFrame, extent: tuple) -> DataFrame:
     """Add snapshot_seq: the first snapshot at or after `time`.
 
     Snapshot i covers the time after snapshot i-1 up to its own. Both the intervals and
@@ -28,6 +30,7 @@ def _assign(log: DataFrame, time: Column, snapshots: DataFrame, first: int, peri
     interval rows per snapshot, and about two candidates per record. Records after the
     last snapshot belong to none.
     """
+    first, last_seq, period = extent
     order = Window.partitionBy(F.expr("snapshot_seq div 65536")).orderBy("snapshot_seq")
     # A stretch of 65,536 snapshots is numbered in one task; the first of a stretch looks
     # up its predecessor by number.
@@ -57,6 +60,10 @@ def _assign(log: DataFrame, time: Column, snapshots: DataFrame, first: int, peri
     records = log.withColumn("_us", us).withColumn(
         "_slot", F.greatest(slot(F.greatest("_us", F.lit(first))), F.lit(0).cast("bigint"))
     )
+    # Slots and polls are equally many, so about two rows per poll. A short list is sent to
+    # the records; only beyond that do the records move.
+    if last_seq < BROADCAST_POLLS // 2:
+        intervals = F.broadcast(intervals)
     return records.join(intervals, "_slot").filter("_us > _from and _us <= _to")
 
 
@@ -70,7 +77,9 @@ def _fill(points: DataFrame, keys: list[str], value: str, last_seq: int) -> Data
     )
 
 
-def _stamped(filled: DataFrame, snapshots: DataFrame) -> DataFrame:
+def _stamped(filled: DataFrame, snapshots: DataFrame, last_seq: int) -> DataFrame:
+    if last_seq < BROADCAST_POLLS:
+        snapshots = F.broadcast(snapshots)
     return (
         filled.join(snapshots, "snapshot_seq")
         .withColumn("captured_at", F.timestamp_micros("captured_us"))
@@ -80,11 +89,11 @@ def _stamped(filled: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 def end_offsets_from_log(log: DataFrame, snapshots: DataFrame) -> DataFrame:
     """topic_offsets from a topic log: the offset after the last record so far."""
-    first, last_seq, period = _extent(snapshots)
+    extent = _extent(snapshots)
     keys = ["topic", "partition"]
     slim = log.select(*keys, "offset", "timestamp")
     points = (
-        _assign(slim, F.col("timestamp"), snapshots, first, period)
+        _assign(slim, F.col("timestamp"), snapshots, extent)
         .groupBy(*keys, "snapshot_seq")
         .agg((F.max("offset") + 1).alias("end_offset"))
     )
@@ -93,7 +102,7 @@ def end_offsets_from_log(log: DataFrame, snapshots: DataFrame) -> DataFrame:
         Window.unboundedPreceding, Window.currentRow
     )
     points = points.withColumn("end_offset", F.max("end_offset").over(so_far))
-    return _stamped(_fill(points, keys, "end_offset", last_seq), snapshots).select(
+    return _stamped(_fill(points, keys, "end_offset", extent[1]), snapshots, extent[1]).select(
         "snapshot_id", "captured_at", *keys, "end_offset", "error"
     )
 
@@ -101,15 +110,15 @@ def end_offsets_from_log(log: DataFrame, snapshots: DataFrame) -> DataFrame:
 def committed_offsets_from_log(log: DataFrame, snapshots: DataFrame) -> DataFrame:
     """group_offsets from a commit log: the last commit so far (the largest offset among
     commits with the same time)."""
-    first, last_seq, period = _extent(snapshots)
+    extent = _extent(snapshots)
     keys = ["group_id", "topic", "partition"]
     slim = log.select(*keys, "offset", "commit_ts")
     points = (
-        _assign(slim, F.col("commit_ts"), snapshots, first, period)
+        _assign(slim, F.col("commit_ts"), snapshots, extent)
         .groupBy(*keys, "snapshot_seq")
         .agg(F.max(F.struct("_us", "offset")).alias("_last"))
         .withColumn("committed_offset", F.col("_last.offset"))
     )
-    return _stamped(_fill(points, keys, "committed_offset", last_seq), snapshots).select(
+    return _stamped(_fill(points, keys, "committed_offset", extent[1]), snapshots, extent[1]).select(
         "snapshot_id", "captured_at", *keys, "committed_offset", "error"
     )

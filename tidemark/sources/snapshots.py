@@ -8,17 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordering import dense_sequence
+from tidemark.session import broadcast_if_small, fixed
 from tidemark.sources.tables import LagTables
 
+# Three bigints per poll: about 60 MB as a hash table. Beyond it, joins shuffle.
+BROADCAST_POLLS = 1_000_000
+
 
 def snapshot_index(tables: LagTables) -> DataFrame:
     """(snapshot_id, snapshot_seq, captured_us), one row per poll.
 
     Every table counts, not only committed offsets: a poll that saw no group still
     separates its neighbours. The time of a poll is the last group-offset time in it, and
-    filters on groups never change the list.
+    filters on groups never change the list. A derived list is computed once and kept.
     """
     given = tables.snapshots
+    derived = given is None or "snapshot_seq" not in given.columns
     if given is None:
         listed = [tables.group_offsets.select("snapshot_id", "captured_at")]
         for other in (tables.topic_offsets, tables.groups):
@@ -35,8 +40,9 @@ def snapshot_index(tables: LagTables) -> DataFrame:
         )
     if "snapshot_seq" not in given.columns:
         given = dense_sequence(given, "snapshot_id", "snapshot_seq")
-    return given.select(
+    index = given.select(
         "snapshot_id",
         F.col("snapshot_seq").cast("bigint").alias("snapshot_seq"),
         F.unix_micros("captured_at").alias("captured_us"),
     )
+    return broadcast_if_small(fixed(index) if derived else index, BROADCAST_POLLS)

@@ -15,7 +15,7 @@ from tidemark.operators.skew import rate_skew
 from tidemark.options import Options
 from tidemark.plans import documents, reports
 from tidemark.schemas import PARTITION_KEY, STATS_KEY
-from tidemark.session import shared_dir
+from tidemark.session import fixed, shared_dir
 from tidemark.sources import tables as scans
 from tidemark.sources.logs import committed_offsets_from_log
 from tidemark.sources.tables import LagTables
@@ -387,8 +387,7 @@ def p1_report_sorted(p):
 @_on_prepared()
 def p1_sort_keys(p):
     rows = reports.report(p)
-    shared_dir(rows.sparkSession)
-    rows = rows.checkpoint()  # numbered three times below
+    rows = fixed(rows)  # numbered three times below
     result = rows.select(*STATS_KEY)
     for key in ("eta", "topic", "newrate"):
         numbered = reports.number_report(rows, key)
