@@ -14,7 +14,6 @@ from tidemark.sources.snapshots import snapshot_index
 from tidemark.sources.tables import (
     LagTables,
     committed_scan,
-    end_offset_scan,
     group_scan,
 )
 
@@ -39,6 +38,12 @@ def with_state(groups: DataFrame) -> DataFrame:
     return group_scan(groups).withColumn("state", group_state())
 
 
+def _visible(groups: DataFrame, options: Options) -> DataFrame:
+    """Rows of the groups an analysis looks at; a group listed twice is still there twice."""
+    kept = match_groups(groups, options).withColumn("state", group_state())
+    return kept if options.show_empty else kept.filter(F.col("state") != S.EMPTY)
+
+
 def match_groups(df: DataFrame, options: Options) -> DataFrame:
     """Include, then exclude; both search anywhere in the group id."""
     if options.include:
@@ -50,8 +55,7 @@ def match_groups(df: DataFrame, options: Options) -> DataFrame:
 
 def live_groups(groups: DataFrame, options: Options) -> DataFrame:
     """The groups an analysis looks at, with their state."""
-    kept = with_state(match_groups(groups, options))
-    return kept if options.show_empty else kept.filter(F.col("state") != S.EMPTY)
+    return group_scan(_visible(groups, options))
 
 
 @dataclass(frozen=True)
@@ -59,18 +63,21 @@ class Prepared:
     """Inputs after all filters that come before the analysis.
 
     committed    snapshot_id, group_id, topic, partition, committed_offset (NULL = none)
-    end_offsets  snapshot_id, topic, partition, end_offset; every partition that answered
-    topics       snapshot_id, topic of every topic that answered, even with errors only
+    answers      snapshot_id, topic, partition, end_offset (NULL = partition in error)
     snapshots    snapshot_id, snapshot_seq, captured_us
     """
 
     committed: DataFrame
-    end_offsets: DataFrame
-    topics: DataFrame
+    answers: DataFrame
     snapshots: DataFrame
     groups: DataFrame | None
     options: Options
 
+    @property
+    def end_offsets(self) -> DataFrame:
+        """End offsets of the partitions without an error."""
+        return self.answers.filter(F.col("end_offset").isNotNull())
+
     @property
     def offsets(self) -> DataFrame:
         """Committed offsets proper, without the topic-only rows."""
@@ -112,11 +119,14 @@ def prepare(tables: LagTables, options: Options = Options()) -> Prepared:
     groups = None
     if tables.groups is not None:
         groups = live_groups(tables.groups, options)
-        committed = committed.join(groups, ["snapshot_id", "group_id"], "left_semi")
+        # Listing a group twice does no harm here, so no shuffle to make it unique.
+        visible = _visible(tables.groups, options)
+        committed = committed.join(visible, ["snapshot_id", "group_id"], "left_semi")
     return Prepared(
         committed=committed,
-        end_offsets=end_offset_scan(tables.topic_offsets),
-        topics=tables.topic_offsets.select("snapshot_id", "topic").distinct(),
+        answers=tables.topic_offsets.select(
+            *S.PARTITION_KEY, F.when(F.col("error").isNull(), F.col("end_offset")).alias("end_offset")
+        ),
         snapshots=snapshot_index(tables),
         groups=groups,
         options=options,

@@ -151,7 +151,7 @@ def group_rates(prepared: Prepared, with_lag: bool = True) -> DataFrame:
         "topic",
         "time_delta",
         consumed.alias("events_consumed"),
-        (F.round(rate, 3) if legacy else rate).alias("consumption_rate"),
+        (F.bround(rate, 3) if legacy else rate).alias("consumption_rate"),
         *[F.col(f"_second.{c}").alias(c) for c in lag_columns],
     )
     if not with_lag:
@@ -164,34 +164,34 @@ def group_rates(prepared: Prepared, with_lag: bool = True) -> DataFrame:
 
 
 def topic_totals(prepared: Prepared) -> DataFrame:
-    """Sum of the end offsets of the requested partitions per snapshot and topic.
+    """Sum of the end offsets of the requested partitions per snapshot and topic. A topic
+    that answered with errors only has the sum 0; one that did not answer has no row.
 
     Both inputs are stacked and counted by partition, so a topic that very many groups
     read shrinks to its partitions before the shuffle; no join, no hot key.
     """
-    ends = prepared.end_offsets.select(
-        *S.PARTITION_KEY, "end_offset", F.lit(False).alias("requested")
+    answers = prepared.answers.select(
+        *S.PARTITION_KEY, "end_offset", F.lit(True).alias("answered"), F.lit(False).alias("asked")
     )
     asked = prepared.asked.select(
         *S.PARTITION_KEY,
         F.lit(None).cast("bigint").alias("end_offset"),
-        F.lit(True).alias("requested"),
-    )
-    answered = prepared.topics.select(
-        "snapshot_id",
-        "topic",
-        F.lit(-1).alias("partition"),  # a topic that answered, if only with errors
-        F.lit(0).cast("bigint").alias("end_offset"),
-        F.lit(True).alias("requested"),
+        F.lit(False).alias("answered"),
+        F.lit(True).alias("asked"),
     )
     return (
-        ends.unionByName(asked)
-        .unionByName(answered)
+        answers.unionByName(asked)
         .groupBy(*S.PARTITION_KEY)
-        .agg(F.max("end_offset").alias("end_offset"), F.max("requested").alias("requested"))
-        .filter("requested and end_offset is not null")
+        .agg(*[F.max(c).alias(c) for c in ("end_offset", "answered", "asked")])
         .groupBy("snapshot_id", "topic")
-        .agg(F.sum("end_offset").alias("end_sum"))
+        .agg(
+            F.coalesce(F.sum(F.when(F.col("asked"), F.col("end_offset"))), F.lit(0)).alias(
+                "end_sum"
+            ),
+            F.max("answered").alias("answered"),
+        )
+        .filter("answered")
+        .drop("answered")
     )
 
 
@@ -214,7 +214,7 @@ def arrival_rates(prepared: Prepared) -> DataFrame:
             F.col("snapshot_id").alias("prev_snapshot_id"),
             "topic",
             arrived.alias("events_arrived"),
-            (F.round(rate, 3) if prepared.options.legacy else rate).alias("arrival_rate"),
+            (F.bround(rate, 3) if prepared.options.legacy else rate).alias("arrival_rate"),
         )
     )
 

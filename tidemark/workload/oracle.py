@@ -559,6 +559,43 @@ def oracle_sql() -> dict[str, str]:
             _METADATA,
         ),
     }
+    sql["p5_sorted_ids"] = _query(
+        "select *, row_number() over (partition by snapshot_id order by group_id) as position "
+        "from (select distinct snapshot_id, group_id from states)"
+    )
+    sql["p6_poll_budget"] = _query(
+        f"select {key}, events_consumed, remaining_sec from rates",
+        _analysis(pairs="a.snapshot_id <= (select min(snapshot_id) + 4 from snaps)"),
+    )
+    # The first-generation tool: negative offsets and lags count as they are, the end
+    # offsets asked for are those of the first group of a topic, and sums are independent.
+    legacy = """
+    lo as (select * exclude (committed), coalesce(committed, -1) as committed from group_offsets
+           where group_id <> 'g-empty'),
+    first_group as (select snapshot_id, topic, min(group_id) as group_id from lo group by all),
+    lasked as (select lo.snapshot_id, lo.topic, lo.partition from lo
+               join first_group using (snapshot_id, topic, group_id)),
+    llag as (select l.*, t.end_offset - l.committed as lag from lo l
+             join topic_offsets t using (snapshot_id, topic, partition)
+             join lasked using (snapshot_id, topic, partition)),
+    lsum as (
+      select e.snapshot_id, e.group_id, e.topic, count(lag) as n_parts,
+             coalesce(min(lag), 0) as lag_min, coalesce(max(lag), 0) as lag_max,
+             cast(coalesce(sum(lag), 0) as bigint) as lag_sum,
+             cast(coalesce(median(lag), 0) as double) as lag_median
+      from (select distinct snapshot_id, group_id, topic from lo) e
+      left join llag using (snapshot_id, group_id, topic) group by all),
+    lmoved as (select snapshot_id, group_id, topic, cast(sum(committed) as bigint) as total
+               from lo group by all)"""
+    sql["l1_lag_stats_legacy"] = _query("select * from lsum", legacy)
+    sql["k1_consumption_legacy"] = _query(
+        f"""select b.snapshot_id, b.group_id, b.topic, b.total - a.total as events_consumed,
+        s.lag_sum from lmoved a join lmoved b on b.snapshot_id = a.snapshot_id + 1
+          and b.group_id = a.group_id and b.topic = a.topic
+        join lsum s on s.snapshot_id = b.snapshot_id and s.group_id = b.group_id
+          and s.topic = b.topic""",
+        legacy,
+    )
     closed = "snapshot_id < (select max(snapshot_id) from snaps)"
     sql["x1_streaming_lag"] = _query(
         f"select {key}, n_parts, lag_min, lag_max, lag_sum, par, cv from lag_stats where {closed}",

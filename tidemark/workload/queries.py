@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import health, skew, text
 from tidemark.operators import clean, lag, rates
 from tidemark.operators.clean import Prepared, prepare
+from tidemark.operators.ordering import with_position
 from tidemark.operators.skew import rate_skew
 from tidemark.options import Options
 from tidemark.plans import documents, reports
@@ -404,6 +405,17 @@ def p3_page(p):
     )
 
 
+@_on_tables
+def p5_sorted_ids(t):
+    groups = clean.live_groups(t.groups, ALL_GROUPS).select("snapshot_id", "group_id")
+    return with_position(groups, [F.col("group_id").asc()], ["snapshot_id"])
+
+
+@_on_prepared(Options(max_pairs=5))
+def p6_poll_budget(p):
+    return rates.rates(p).select(*STATS_KEY, "events_consumed", "remaining_sec")
+
+
 @_on_prepared()
 def p4_detail_sorted(p):
     return reports.number_detail(rates.partition_history(p), "lag").select(
@@ -533,6 +545,23 @@ def t2_topic_info_parts(t):
     )
 
 
+# results of the first-generation tool
+
+LEGACY = Options(legacy=True)
+
+
+@_on_prepared(LEGACY)
+def l1_lag_stats_legacy(p):
+    return lag.lag_stats(p).select(
+        *STATS_KEY, "n_parts", "lag_min", "lag_max", "lag_sum", "lag_median"
+    )
+
+
+@_on_prepared(LEGACY)
+def k1_consumption_legacy(p):
+    return rates.group_rates(p).select(*STATS_KEY, "events_consumed", "lag_sum")
+
+
 # streams, run to their end; the last poll stays open until a later one arrives
 
 DAY = 86400
