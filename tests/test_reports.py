@@ -187,6 +187,15 @@ def test_partition_detail(prepared, tables):
         assert rows(reports.number_detail(late, key), "partition", "position")[0] == (first, 1)
 
 
+def test_ranks_of_wide_topics_are_the_same(prepared, monkeypatch):
+    from tidemark.operators import ordering
+
+    narrow = sorted(reports.partition_detail(prepared).collect())
+    monkeypatch.setattr(ordering, "CHUNK", 1)
+    assert not prepared.is_narrow()
+    assert sorted(reports.partition_detail(prepared).collect()) == narrow
+
+
 def test_topics(tables):
     info = reports.topic_info(tables.topic_partitions)
     assert rows(info, "topic", "partitions", "replication_factor") == [

@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 from tidemark import schemas as S
 from tidemark.operators import ordering
 from tidemark.options import Options
+from tidemark.session import broadcast_if_small, fixed
 from tidemark.sources.snapshots import snapshot_index
 from tidemark.sources.tables import (
     LagTables,
     committed_scan,
+    end_offset_scan,
     group_scan,
 )
 
+# (snapshot, topic) pairs: about 20 MB as a hash table with names of usual length.
+BROADCAST_TOPICS = 200_000
+
 
 def group_state() -> Column:
     """Raw state -> one of six. A group that could not be described counts as STABLE; an
@@ -62,13 +67,13 @@ def live_groups(groups: DataFrame, options: Options) -> DataFrame:
 class Prepared:
     """Inputs after all filters that come before the analysis.
 
-    committed    snapshot_id, group_id, topic, partition, committed_offset (NULL = none)
-    answers      snapshot_id, topic, partition, end_offset (NULL = partition in error)
-    snapshots    snapshot_id, snapshot_seq, captured_us
+    committed      snapshot_id, group_id, topic, partition, committed_offset (NULL = none)
+    topic_offsets  as given; end offsets are read through the properties
+    snapshots      snapshot_id, snapshot_seq, captured_us
     """
 
     committed: DataFrame
-    answers: DataFrame
+    topic_offsets: DataFrame
     snapshots: DataFrame
     groups: DataFrame | None
     options: Options
@@ -76,7 +81,13 @@ class Prepared:
     @property
     def end_offsets(self) -> DataFrame:
         """End offsets of the partitions without an error."""
-        return self.answers.filter(F.col("end_offset").isNotNull())
+        return end_offset_scan(self.topic_offsets)
+
+    @property
+    def answers(self) -> DataFrame:
+        """The same with the partitions in error, whose offset is NULL."""
+        offset = F.when(F.col("error").isNull(), F.col("end_offset")).alias("end_offset")
+        return self.topic_offsets.select(*S.PARTITION_KEY, offset)
 
     @property
     def offsets(self) -> DataFrame:
@@ -106,6 +117,13 @@ class Prepared:
         top = self.end_offsets.agg(F.max("partition")).first()[0]
         return top is None or top < ordering.CHUNK
 
+    def wide_topics(self) -> DataFrame:
+        """Topics that may have more than CHUNK partitions, per snapshot. Each has at least
+        one partition id of CHUNK or above."""
+        wide = self.end_offsets.filter(F.col("partition") >= ordering.CHUNK)
+        listed = fixed(wide.select("snapshot_id", "topic").distinct())
+        return broadcast_if_small(listed, BROADCAST_TOPICS)
+
 
 def prepare(tables: LagTables, options: Options = Options()) -> Prepared:
     """Apply the group filters once, before anything is joined or counted."""
@@ -124,9 +142,7 @@ def prepare(tables: LagTables, options: Options = Options()) -> Prepared:
         committed = committed.join(visible, ["snapshot_id", "group_id"], "left_semi")
     return Prepared(
         committed=committed,
-        answers=tables.topic_offsets.select(
-            *S.PARTITION_KEY, F.when(F.col("error").isNull(), F.col("end_offset")).alias("end_offset")
-        ),
+        topic_offsets=tables.topic_offsets,
         snapshots=snapshot_index(tables),
         groups=groups,
         options=options,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas as S
 from tidemark.operators.clean import Prepared, topic_groups
-from tidemark.operators.ordering import exact_middle, with_chunk
+from tidemark.operators.ordering import exact_middle
 
 _WIDE = "decimal(38,0)"
 
@@ -90,47 +90,46 @@ def _halfway(low: str, high: str, legacy: bool) -> Column:
     return F.expr(f"({low} + {high}) / 2" if legacy else f"{low} + ({high} - {low}) div 2")
 
 
-def _with_median(grouped, legacy: bool, keep: bool = False) -> DataFrame:
-    """Statistics and median of groups of at most CHUNK rows."""
-    stats = grouped.agg(*stat_columns(), F.sort_array(F.collect_list("lag")).alias("v"))
-    middle = _halfway("v[cast((n_parts - 1) div 2 as int)]", "v[cast(n_parts div 2 as int)]", legacy)
-    stats = stats.withColumn("lag_median", middle)
-    return stats if keep else stats.drop("v")
+def _with_median(lags: DataFrame, value: Column, legacy: bool) -> DataFrame:
+    """Statistics, and the median of the values that `value` lets through."""
+    v = F.sort_array(F.collect_list(value))
+    stats = lags.groupBy(*S.STATS_KEY).agg(*stat_columns(), v.alias("v"))
+    low, high = "v[cast((n_parts - 1) div 2 as int)]", "v[cast(n_parts div 2 as int)]"
+    median = F.when(F.size("v") == F.col("n_parts"), _halfway(low, high, legacy))
+    return stats.withColumn("lag_median", median).drop("v")
+
+
+def _wide_median(lags: DataFrame, wide: DataFrame, legacy: bool) -> DataFrame:
+    """The same where some topics are too wide to collect: their values stay out of the
+    lists, and their median comes from counts."""
+    flagged = lags.join(wide.withColumn("wide", F.lit(True)), ["snapshot_id", "topic"], "left")
+    stats = _with_median(flagged, F.when(F.col("wide").isNull(), F.col("lag")), legacy)
+    of_wide = lags.join(wide, ["snapshot_id", "topic"], "left_semi")
+    middle = exact_middle(of_wide, S.STATS_KEY, "lag").select(
+        *S.STATS_KEY, _halfway("low", "high", legacy).alias("wide_median")
+    )
+    return (
+        stats.join(middle, S.STATS_KEY, "left")
+        .withColumn("lag_median", F.coalesce("lag_median", "wide_median"))
+        .drop("wide_median")
+    )
 
 
 def lag_stats(prepared: Prepared, median: bool = True) -> DataFrame:
     """One row per snapshot, group and topic that has at least one lag.
 
     Without the median every statistic is a mergeable aggregate. The median needs the
-    values. Where the largest partition id shows that no topic has more than CHUNK of
-    them, they are collected; otherwise per chunk of partition ids, and a topic with
-    several chunks goes through `exact_middle`, which collects nothing.
+    values: they are collected for topics of at most CHUNK partitions. Wider topics go
+    through `exact_middle`, which collects nothing.
     """
     lags = partition_lag(prepared)
     legacy = prepared.options.legacy
     if not median:
         stats = lags.groupBy(*S.STATS_KEY).agg(*stat_columns())
-    elif prepared.is_narrow():  # no list is longer than CHUNK
-        stats = _with_median(lags.groupBy(*S.STATS_KEY), legacy)
+    elif prepared.is_narrow():
+        stats = _with_median(lags, F.col("lag"), legacy)
     else:
-        chunks = _with_median(with_chunk(lags).groupBy(*S.STATS_KEY, "chunk"), legacy, keep=True)
-        merged = chunks.groupBy(*S.STATS_KEY).agg(
-            *merge_columns(),
-            F.count("*").alias("n_chunks"),
-            F.max("lag_median").alias("only_median"),
-        )
-        wide = chunks.join(
-            merged.filter("n_chunks > 1").select(*S.STATS_KEY), S.STATS_KEY, "left_semi"
-        ).select(*S.STATS_KEY, F.explode("v").alias("lag"))
-        wide = exact_middle(wide, S.STATS_KEY, "lag").select(
-            *S.STATS_KEY, _halfway("low", "high", legacy).alias("wide_median")
-        )
-        median_of = F.when(F.col("n_chunks") == 1, F.col("only_median"))
-        stats = (
-            merged.join(wide, S.STATS_KEY, "left")
-            .withColumn("lag_median", median_of.otherwise(F.col("wide_median")))
-            .drop("n_chunks", "only_median", "wide_median")
-        )
+        stats = _wide_median(lags, prepared.wide_topics(), legacy)
     if legacy:
         # A topic without any lag still has a row, of zeros.
         stats = topic_groups(prepared).join(stats, S.STATS_KEY, "left").na.fill(0)
