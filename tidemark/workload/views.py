@@ -66,13 +66,17 @@ CONFIGS = [
 
 
 def _records(events: DataFrame, spread: str) -> DataFrame:
+    time = F.col("ts")
+    if dict(events.dtypes)["ts"] == "timestamp_ntz":
+        # The times carry no zone and mean UTC, whatever the session's zone.
+        time = F.convert_timezone(F.lit("UTC"), F.current_timezone(), time)
     return events.select(
         F.col("event_type").alias("topic"),
         F.expr(
             "cast(case when event_type = 'error' then case when user_id % 10 < 7 then 0 "
             f"else user_id % 4 end else {spread} end as int)"
         ).alias("partition"),
-        F.col("ts").cast("timestamp").alias("timestamp"),
+        time.cast("timestamp").alias("timestamp"),
         "event_id",
     )
 
@@ -268,13 +272,19 @@ def stored_tables(spark: SparkSession, sf_dir: str, spread: str = "user_id") ->
             )
             return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-        ends = write(views.end_offsets(), "ends")
-        broken = (
-            ends.filter("partition % 50 = 0")
-            .withColumn("partition", (F.col("partition") + 1000000).cast("int"))
-            .withColumn("error", F.lit("LEADER_NOT_AVAILABLE"))
+        # Every fiftieth partition also answers with an error, under another number.
+        failed = F.when(F.col("partition") % 50 == 0, F.array(F.lit(False), F.lit(True)))
+        answers = (
+            views.end_offsets()
+            .withColumn("failed", F.explode(failed.otherwise(F.array(F.lit(False)))))
+            .withColumn(
+                "partition",
+                F.when(F.col("failed"), F.col("partition") + 1000000).otherwise(F.col("partition")),
+            )
+            .withColumn("error", F.when(F.col("failed"), F.lit("LEADER_NOT_AVAILABLE")))
+            .drop("failed")
         )
-        write(ends.unionByName(broken), "topic_offsets")
+        ends = write(answers, "topic_offsets").filter("error is null")
         write(group_offsets(views.commits(), ends, index), "group_offsets")
         write(topic_partitions(ends), "topic_partitions")
         views.groups().write.parquet(f"{folder}/groups")
