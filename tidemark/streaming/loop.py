@@ -108,13 +108,25 @@ class SnapshotLoop:
         )
 
 
-def append_parquet(result: DataFrame, folder: str, **trigger) -> StreamingQuery:
-    """Write a windowed result (see `windows`) as it becomes final."""
-    return (
-        result.writeStream.format("parquet")
-        .option("path", f"{folder}/out")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .outputMode("append")
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
+def append_parquet(
+    result: DataFrame, folder: str, state_partitions: int | None = None, **trigger
+) -> StreamingQuery:
+    """Write a windowed result (see `windows`) as it becomes final.
+
+    The number of state partitions is fixed when a stream first starts, and nothing merges
+    small ones later as in a batch; `state_partitions` chooses it for this stream alone.
+    """
+    conf, name = result.sparkSession.conf, "spark.sql.shuffle.partitions"
+    usual = conf.get(name)
+    conf.set(name, str(state_partitions or usual))
+    try:
+        return (
+            result.writeStream.format("parquet")
+            .option("path", f"{folder}/out")
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .outputMode("append")
+            .trigger(**(trigger or {"availableNow": True}))
+            .start()
+        )
+    finally:
+        conf.set(name, usual)

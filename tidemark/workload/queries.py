@@ -573,7 +573,8 @@ def _fresh(spark: SparkSession) -> str:
 
 def _finished(result: DataFrame) -> DataFrame:
     spark, folder = result.sparkSession, _fresh(result.sparkSession)
-    append_parquet(result, folder).awaitTermination()
+    cores = spark.sparkContext.defaultParallelism
+    append_parquet(result, folder, state_partitions=cores).awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 
 
