@@ -236,7 +236,8 @@ def rates(prepared: Prepared) -> DataFrame:
     arrivals = arrival_rates(prepared).drop("events_arrived")
     if options.legacy:
         pairs = pairs.join(arrivals, [*_PAIR, "topic"])
-        pairs = pairs.na.fill(0, ["n_parts", "lag_min", "lag_max", "lag_sum", "lag_mean", "par", "cv"])
+        zeros = ["n_parts", "lag_min", "lag_max", "lag_sum", "lag_mean", "par", "cv"]
+        pairs = pairs.na.fill(0, zeros)
         # The first-generation tool knows the simple ETA only, and keeps the fraction.
         remaining = F.when(used > 0, lag / used).otherwise(-1.0)
         text = legacy_hms(F.col("remaining_sec"))

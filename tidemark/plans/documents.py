@@ -77,7 +77,9 @@ def topic_documents(topic_partitions: DataFrame, parts: bool = False) -> DataFra
             .agg(F.array_sort(F.collect_list(info)).alias("partinfo"))
         )
         topics = topics.join(chunks, keys, "left")
-        empty = F.array().cast("array<struct<id:int,leader:int,replicas:array<int>,nisrs:array<int>>>")
+        empty = F.array().cast(
+            "array<struct<id:int,leader:int,replicas:array<int>,nisrs:array<int>>>"
+        )
         fields.append(F.coalesce("partinfo", empty).alias("partinfo"))
     body = F.create_map("topic", F.struct(*fields))
     line = F.coalesce("chunk", F.lit(0)) if parts else F.lit(0)

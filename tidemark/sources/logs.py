@@ -102,7 +102,8 @@ def end_offsets_from_log(log: DataFrame, snapshots: DataFrame) -> DataFrame:
         Window.unboundedPreceding, Window.currentRow
     )
     points = points.withColumn("end_offset", F.max("end_offset").over(so_far))
-    return _stamped(_fill(points, keys, "end_offset", extent[1]), snapshots, extent[1]).select(
+    filled = _fill(points, keys, "end_offset", extent[1])
+    return _stamped(filled, snapshots, extent[1]).select(
         "snapshot_id", "captured_at", *keys, "end_offset", "error"
     )
 
@@ -119,6 +120,7 @@ def committed_offsets_from_log(log: DataFrame, snapshots: DataFrame) -> DataFram
         .agg(F.max(F.struct("_us", "offset")).alias("_last"))
         .withColumn("committed_offset", F.col("_last.offset"))
     )
-    return _stamped(_fill(points, keys, "committed_offset", extent[1]), snapshots, extent[1]).select(
+    filled = _fill(points, keys, "committed_offset", extent[1])
+    return _stamped(filled, snapshots, extent[1]).select(
         "snapshot_id", "captured_at", *keys, "committed_offset", "error"
     )

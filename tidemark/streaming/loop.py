@@ -21,7 +21,13 @@ def tables_of(rows: DataFrame) -> LagTables:
     blank = F.lit(None).cast("string").alias("error")
     return LagTables(
         group_offsets=rows.select(
-            "snapshot_id", "captured_at", "group_id", "topic", "partition", "committed_offset", blank
+            "snapshot_id",
+            "captured_at",
+            "group_id",
+            "topic",
+            "partition",
+            "committed_offset",
+            blank,
         ),
         topic_offsets=rows.filter(F.col("end_offset").isNotNull())
         .groupBy("snapshot_id", "topic", "partition")

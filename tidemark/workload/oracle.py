@@ -125,6 +125,7 @@ rates as materialized (
 """
 
 
+_DAY = "cast(86400 as double)"
 _ISSUE = """(remaining_sec >= 120 or
              (remaining_sec = -1 and (arr > 1.0 or coalesce(lag_sum, 0) > 1000)))"""
 _ETA_LEVEL = """case when remaining_sec = -1 then 'red' when remaining_sec < 60 then 'green'
@@ -136,7 +137,7 @@ _CV_LEVEL = """case when cv <= 0 then 'none' when cv < 0.5 then 'green'
   when cv <= 1.0 then 'yellow' else 'red' end"""
 _REPORT = f"""
 report as materialized (
-  select snapshot_id, prev_snapshot_id, group_id, topic, n_parts as parts, cast(86400 as double) as since,
+  select snapshot_id, prev_snapshot_id, group_id, topic, n_parts as parts, {_DAY} as since,
          events_consumed as consumed, cast(trunc(arr) as bigint) as new_rate,
          cast(trunc(cons) as bigint) as cons_rate, cons as consumption_rate,
          arr as arrival_rate, remaining_hms as eta, remaining_sec, lag_sum as lag, par, cv,
@@ -178,7 +179,8 @@ _FNV = """cast(list_reduce(list_prepend(cast(2166136261 as bigint),
 
 
 def _si_integer(x: str) -> str:
-    return f"case when {x} < 0 then '-' else '' end || {_si(f'abs({x})', f'cast(abs({x}) as varchar)')}"
+    size = f"abs({x})"
+    return f"case when {x} < 0 then '-' else '' end || {_si(size, f'cast({size} as varchar)')}"
 
 
 def _si(x: str, small: str) -> str:
@@ -352,7 +354,7 @@ def oracle_sql() -> dict[str, str]:
             _analysis(pairs="a.snapshot_id % 2 = 1"),
         ),
         "k1_consumption": _query(
-            "select snapshot_id, prev_snapshot_id, group_id, topic, cast(86400 as double) as time_delta, "
+            f"select snapshot_id, prev_snapshot_id, group_id, topic, {_DAY} as time_delta, "
             "events_consumed, events_consumed / 86400.0 as consumption_rate from moved",
             every,
         ),
@@ -380,7 +382,7 @@ def oracle_sql() -> dict[str, str]:
             flat + "remaining_sec, remaining_hms from rates", _analysis(eta="simple")
         ),
         "k9_rates": _query(
-            """select snapshot_id, prev_snapshot_id, group_id, topic, cast(86400 as double) as time_delta,
+            f"""select snapshot_id, prev_snapshot_id, group_id, topic, {_DAY} as time_delta,
             events_consumed, cons as consumption_rate, arr as arrival_rate, remaining_sec,
             remaining_hms, n_parts, lag_min, lag_max, lag_sum, lag_mean, par, cv from rates""",
             every,
@@ -514,7 +516,7 @@ def oracle_sql() -> dict[str, str]:
             full,
         ),
         "o5_rate_table": _query(
-            flat + "events_consumed, cast(86400 as double) as time_delta, cons as consumption_rate, "
+            flat + f"events_consumed, {_DAY} as time_delta, cons as consumption_rate, "
             "arr as arrival_rate, remaining_hms from rates",
             full,
         ),
@@ -603,7 +605,7 @@ def oracle_sql() -> dict[str, str]:
     )
     sql["x2_streaming_rates"] = _query(
         f"""select snapshot_id, prev_snapshot_id, group_id, topic,
-        cast(86400 as double) as time_delta, events_consumed, cons as consumption_rate,
+        {_DAY} as time_delta, events_consumed, cons as consumption_rate,
         arr as arrival_rate, lag_sum, remaining_sec, remaining_hms from rates where {closed}""",
         full,
     )

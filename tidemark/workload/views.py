@@ -54,6 +54,7 @@ GROUPS = [
     ("g-silent", "Dead", 0, False),
     ("g-ghost", "", 0, False),
 ]
+_GROUP_COLUMNS = ("group_id", "raw_state", "member_count", "describe_failed")
 CONFIGS = [
     ("click", "retention.ms", "1209600000"),
     ("click", "x.ms", "5400000"),
@@ -120,19 +121,15 @@ def commit_log(records: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Every group's commits: at each snapshot, the count of records it has read by then.
     A group starts with offset 0 when a partition appears."""
     keys = ["topic", "partition"]
-    spark = records.sparkSession
     hourly = records.groupBy(*keys, _hour().alias("hour")).agg(F.count("*").alias("n"))
     horizon = F.coalesce(
         *[F.when(F.col("group_id") == g, F.expr(h)) for g, h in HORIZONS.items()]
     ).cast("bigint")
-    groups = spark.createDataFrame([(g,) for g in HORIZONS], "group_id string")
     reach = (
         snapshots.select(F.col("snapshot_id").alias("s"))
         .withColumn("group_id", F.explode(F.array(*[F.lit(g) for g in HORIZONS])))
         .withColumn("h", horizon)
-        .withColumn(
-            "h0", F.coalesce(F.lag("h").over(Window.partitionBy("group_id").orderBy("s")), F.lit(-1))
-        )
+        .withColumn("h0", F.lag("h", 1, -1).over(Window.partitionBy("group_id").orderBy("s")))
         .filter("h > h0")
         .select("group_id", "s", F.explode(F.sequence(F.col("h0") + 1, "h")).alias("hour"))
     )
@@ -168,7 +165,8 @@ def group_offsets(log: DataFrame, topic_offsets: DataFrame, snapshots: DataFrame
     rows = committed_offsets_from_log(log, snapshots).filter(F.expr(PRESENT))
     ahead = (
         topic_offsets.filter("partition = 0 and topic = 'signup'")
-        .select("snapshot_id", "topic", "partition", F.lit("g-ahead").alias("group_id"), "end_offset")
+        .withColumn("group_id", F.lit("g-ahead"))
+        .select("snapshot_id", "group_id", "topic", "partition", "end_offset")
     )
     rows = rows.join(ahead, ["snapshot_id", "group_id", "topic", "partition"], "left")
     none = "group_id = 'g-silent' or (group_id = 'g-partial' and partition = 5)"
@@ -230,17 +228,17 @@ class Views:
         return commit_log(self.records, self.snapshots)
 
     def groups(self) -> DataFrame:
-        listed = self.spark.createDataFrame(
-            [(*row, False) for row in GROUPS],
-            "group_id string, raw_state string, member_count int, describe_failed boolean, "
-            "is_simple boolean",
+        # The same list at every poll: eleven rows beside each snapshot.
+        entry = F.explode(
+            F.array(
+                *[
+                    F.struct(*[F.lit(v).alias(n) for n, v in zip(_GROUP_COLUMNS, row)])
+                    for row in GROUPS
+                ]
+            )
         )
-        every = F.array(*[F.lit(i) for i in range(1)])
-        return (
-            self.snapshots.select("snapshot_id")
-            .withColumn("one", F.explode(every))
-            .join(listed.withColumn("one", F.lit(0)), "one")
-            .drop("one")
+        return self.snapshots.select("snapshot_id", entry.alias("g")).select(
+            "snapshot_id", "g.*", F.lit(False).alias("is_simple")
         )
 
     def configs(self) -> DataFrame:
