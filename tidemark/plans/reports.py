@@ -131,10 +131,8 @@ def search_report(
 ) -> DataFrame:
     """Rows whose shown "group topic" contains the text, in any case, with their place
     `match_index` (from 0) in the sorted report of their snapshot."""
-    if not needle:
-        return number_report(rows, key, reverse).limit(0).withColumn(
-            "match_index", F.lit(0).cast("bigint")
-        ).drop("position")
+    if not needle:  # no search is on: no match
+        return rows.filter("false").withColumn("match_index", F.lit(0).cast("bigint"))
     shown = F.lower(F.concat_ws(" ", "shown_group", "shown_topic"))
     return (
         number_report(rows, key, reverse)
