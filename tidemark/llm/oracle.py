@@ -64,6 +64,30 @@ select doc_id, x.source, size, source_size, target,
 from x join b on x.source is not distinct from b.source
 """
 
+OP7 = r"""
+with l0 as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as line_no
+            from documents),
+l as (select doc_id, line_no, doc_id * 1000000 + line_no as pos,
+             regexp_extract_all(line, '[^\x20\x09-\x0D]+') as ws from l0),
+t as (select *, array_to_string(ws, ' ') as seq, len(ws) as n from l where len(ws) > 0),
+d as (select seq, min(pos) as first, any_value(ws) as ws, any_value(n) as n from t group by seq),
+v as (select seq, first, n, i, array_to_string(list_concat(ws[1:i], ws[i + 2:]), ' ') as key
+      from (select *, unnest(range(n)) as i from d where n >= 8)),
+s as (select seq, first, min(first) over (partition by key, i) as m from v),
+x as (select v.seq, v.first, d.first as m from v join d on d.seq = v.key and d.n >= 8
+      union all select d.seq, d.first, v.first as m from v join d on d.seq = v.key and d.n >= 8
+      union all select * from s),
+near as (select distinct seq from x where m < first),
+w as (select t.doc_id, t.line_no, case when d.first < t.pos then 'exact'
+                                       when near.seq is not null then 'near' end as why
+      from t join d using (seq) left join near using (seq))
+select a.doc_id, count(w.line_no)::bigint as n_lines, count(*) filter (why = 'exact')::bigint as n_exact,
+       count(*) filter (why = 'near')::bigint as n_near,
+       coalesce(string_agg(w.line_no::varchar, ',' order by w.line_no) filter (why is not null), '') as dropped
+from documents a left join w using (doc_id) group by a.doc_id
+"""
+
 OP8 = r"""
 with p as (select page_id, url, date '2024-01-01' + ((page_id * 7919) % 360)::int as day,
                   regexp_replace(lower(regexp_extract(url,
@@ -95,5 +119,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_suffix_repeats": OP3,
         "op5_source_mix": OP5,
+        "op7_deletion_neighbours": OP7,
         "op8_dated_url_lists": OP8,
     }

@@ -5,12 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, mixing, quality, repetition, shards, simhash, toxicity, urls
+from tidemark.llm import (
+    decontaminate,
+    lines,
+    mixing,
+    pii,
+    quality,
+    repetition,
+    shards,
+    simhash,
+    toxicity,
+    urls,
+)
 from tidemark.llm.oracle import oracle_sql
 from tidemark.llm.text import fixed, held_out
 
 __all__ = ["oracle_sql", "queries"]
 SHARDS = 24
+#: Stands for the secret a deployment would read from its own store.
+KEY = "an example key"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,6 +39,11 @@ def _judged(docs: DataFrame, score: str, cut: float) -> DataFrame:
     )
 
 
+def op1_feistel_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pii.pseudonymised(docs, KEY)
+
+
 def op2_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
     docs, text = table(spark, folder, "documents"), F.col("text")
     rows = fixed(
@@ -108,6 +126,12 @@ def captures_and_lists(spark: SparkSession, folder: str) -> tuple[DataFrame, Dat
     return captures, entries.select("list", "pattern", day(F.col("e.n")).alias("on"), "e.added")
 
 
+def op7_deletion_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = lines.per_document(lines.decided(docs))
+    return found.withColumn("dropped", F.concat_ws(",", "dropped"))
+
+
 def op8_dated_url_lists(spark: SparkSession, folder: str) -> DataFrame:
     captures, entries = captures_and_lists(spark, folder)
     return urls.judged(captures, entries).select(
