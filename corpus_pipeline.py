@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, mixing, shards, simhash, toxicity
+from tidemark.llm import decontaminate, mixing, resemblance, shards, simhash, toxicity
 from tidemark.session import shared_dir
 
 SHARDS = 24
@@ -27,8 +27,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id."""
-    return simhash.without_copies(docs)
+    """One document of each group of near copies (five words, similarity 0.8): that with the
+    smallest id."""
+    return simhash.without_copies(docs, resemblance.clustered(docs), resemblance.print_of())
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

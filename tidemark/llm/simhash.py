@@ -43,23 +43,31 @@ MOST_BROADCAST = 2_000_000
 
 def fingerprint_of(text: bytes, words: int) -> int:
     """The unsigned fingerprint of one text."""
+    hashes = shingle_hashes(text, words)
+    return int(majority(hashes)) if len(hashes) else 0
+
+
+def majority(hashes: np.ndarray) -> np.uint64:
+    """The bits that are set in over half of the hashes."""
+    total = np.zeros(64, np.int64)
+    for s in range(0, len(hashes), 1 << 16):
+        part = hashes[s : s + (1 << 16)].view(np.uint8).reshape(-1, 8)
+        total += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0]
+
+
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 with seed 42 of every shingle, repeats included; none without words."""
     parts = text.lower().split()
-    if not parts:
-        return 0
-    if len(parts) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(parts), 42)
     line = b" ".join(parts)
+    if len(parts) <= words:
+        return np.array([xxhash.xxh64_intdigest(line, 42)] if parts else [], np.uint64)
     size = np.fromiter(map(len, parts), np.int64, len(parts))
     end = np.cumsum(size + 1) - 1
     start = (end - size)[: len(parts) - words + 1].tolist()
     end = end[words - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
-        (digest(line[a:b], 42) for a, b in zip(start, end)), np.uint64, len(start)
-    )
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    mostly = 2 * bits.sum(0, dtype=np.int64) > len(hashes)
-    return int(np.packbits(mostly, bitorder="little").view(np.uint64)[0])
+    return np.fromiter((digest(line[a:b], 42) for a, b in zip(start, end)), np.uint64, len(start))
 
 
 def fingerprint(text: Column, words: int = 3) -> Column:
@@ -77,6 +85,16 @@ def distance(a: np.ndarray, b) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
+def link(prints: np.ndarray, home: np.ndarray, bound: int) -> np.ndarray:
+    """Roots of the sets that pairs within `bound` form in one shard; of each pair at least one
+    fingerprint is at home."""
+    forest = Forest(len(prints))
+    near = lambda q, p: distance(prints[q][:, None], prints[p][None, :]) <= bound
+    spread = lambda q, point: distance(prints[q], prints[point]).astype(np.int64)
+    search(forest, near, spread, np.arange(len(prints)), np.flatnonzero(home), bound)
+    return forest.roots(np.arange(len(prints)))
+
+
 class Node:
     """Inner node: a vantage point and its radius; points within it go left. Leaf: a number."""
 
@@ -86,17 +104,18 @@ class Node:
         self.point, self.radius, self.left, self.right, self.leaf = point, radius, left, right, leaf
 
 
+def halving(found: np.ndarray) -> int:
+    """The radius that halves these distances best."""
+    counts = np.cumsum(np.bincount(found))
+    return int(np.argmin(np.abs(counts - len(found) / 2)))
+
+
 def split(points: np.ndarray) -> tuple[np.uint64, int, np.ndarray] | None:
-    """A vantage point (the first one), the radius that halves the points best, and who is
-    within; None if no radius parts them."""
-    point = points[0]
-    found = distance(points, point)
-    counts = np.cumsum(np.bincount(found, minlength=65))
-    counts = counts[:-1]
-    radius = int(np.argmin(np.abs(counts - len(points) / 2)))
-    if counts[radius] in (0, len(points)):
-        return None
-    return point, radius, found <= radius
+    """A vantage point (the first one), its radius, and who is within; None if all are."""
+    found = distance(points, points[0])
+    radius = halving(found)
+    within = found <= radius
+    return None if within.all() else (points[0], radius, within)
 
 
 def routing_tree(points: np.ndarray, leaves: int) -> tuple[Node, int]:
@@ -175,34 +194,27 @@ class Forest:
             near = apart
 
 
-def link(prints: np.ndarray, home: np.ndarray, bound: int) -> np.ndarray:
-    """Roots of the sets that pairs within `bound` form in one shard; of each pair at least one
-    fingerprint is at home."""
-    forest = Forest(len(prints))
-
-    def compare(queries: np.ndarray, points: np.ndarray) -> None:
-        step = max(1, BLOCK // max(1, len(points)))
-        for s in range(0, len(queries), step):
-            q = queries[s : s + step]
-            near = distance(prints[q][:, None], prints[points][None, :]) <= bound
-            if len(q) and near.any():
-                rows = near.any(1)
-                forest.absorb(near[rows], q[rows], points)
-
-    def search(queries: np.ndarray, points: np.ndarray) -> None:
-        if not len(queries) or not len(points):
+def search(forest: Forest, near, spread, queries: np.ndarray, points: np.ndarray, bound: int) -> None:
+    """Join all pairs of a query and a point that `near` finds, by a vantage-point tree over the
+    points: a branch is left out where no ball of radius `bound` around a query reaches it."""
+    if not len(queries) or not len(points):
+        return
+    if len(points) > LEAF:
+        found = spread(points, points[0])
+        radius = halving(found)
+        within = found <= radius
+        if not within.all():
+            away = spread(queries, points[0])
+            search(forest, near, spread, queries[away <= radius + bound], points[within], bound)
+            search(forest, near, spread, queries[away > radius - bound], points[~within], bound)
             return
-        parted = split(prints[points]) if len(points) > LEAF else None
-        if parted is None:
-            compare(queries, points)
-            return
-        point, radius, within = parted
-        found = distance(prints[queries], point).astype(np.int64)
-        search(queries[found <= radius + bound], points[within])
-        search(queries[found > radius - bound], points[~within])
-
-    search(np.arange(len(prints)), np.flatnonzero(home))
-    return forest.roots(np.arange(len(prints)))
+    step = max(1, BLOCK // len(points))
+    for s in range(0, len(queries), step):
+        part = queries[s : s + step]
+        found = near(part, points)
+        some = found.any(1)
+        if some.any():
+            forest.absorb(found[some], part[some], points)
 
 
 def edges(prints: DataFrame, bound: int) -> DataFrame:
@@ -263,37 +275,44 @@ def components(links: DataFrame) -> DataFrame:
     return current.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
 
 
+def named(rows: DataFrame, prints: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id of rows (doc_id, fp), given prints (fp, least doc_id)."""
+    roots = components(links)
+    joined = prints.join(roots, prints["fp"] == roots["node"], "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root")
+    )
+    ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(fixed(joined.join(ids, "root").select("fp", "component_id")), "fp")
+
+
 def clustered(docs: DataFrame, words: int = 3, bound: int = 2) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id reachable over links, for every row."""
     rows = fixed(docs.select("doc_id", fingerprint(docs["text"], words).alias("fp")))
     prints = fixed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(edges(prints, bound))
-    named = prints.join(roots, prints["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(ids, "root").select("fp", "component_id"), "fp")
+    return named(rows, prints, edges(prints, bound))
 
 
-def without_copies(docs: DataFrame, words: int = 3, bound: int = 2) -> DataFrame:
-    """One document of each component, that with the smallest id.
+def without_copies(docs: DataFrame, found: DataFrame, print_of) -> DataFrame:
+    """One document of each component of found (doc_id, fp, component_id), that with the
+    smallest id. print_of(text) is the fingerprint that found has as fp.
 
     Rows that share an id are one document, of which any row stays. Rows without an id go if
     their component has an id; else one of each fingerprint stays.
     """
-    found = fixed(clustered(docs, words, bound))
+    found = fixed(found.select("doc_id", "fp", "component_id"))
     copies = found.filter("doc_id <> component_id").select("doc_id").distinct()
     heads = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     repeated = fixed(heads.filter("n > 1").select("doc_id"))
-    named = docs.filter("doc_id is not null")
-    kept = named.join(broadcast_if_small(copies, MOST_BROADCAST), "doc_id", "left_anti")
+    kept = docs.filter("doc_id is not null").join(
+        broadcast_if_small(fixed(copies), MOST_BROADCAST), "doc_id", "left_anti"
+    )
     parts = [kept]
     if not repeated.isEmpty():
         parts = [kept.join(repeated, "doc_id", "left_anti")]
         parts.append(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     if not found.filter("doc_id is null").isEmpty():
         lone = found.filter("component_id is null").select("fp").distinct()
-        keyed = docs.filter("doc_id is null").withColumn("_fp", fingerprint(docs["text"], words))
+        keyed = docs.filter("doc_id is null").withColumn("_fp", print_of(docs["text"]))
         one = keyed.join(lone, keyed["_fp"] == lone["fp"], "left_semi").dropDuplicates(["_fp"])
         parts.append(one)
     out = parts[0].select(docs.columns)
