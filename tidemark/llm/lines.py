@@ -206,7 +206,8 @@ def decided(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     a row with line null for every document. A null doc_id is NULL_ID here."""
     rows = scan(docs, least_words)
     lines = distinct_lines(rows)
-    firsts = lines.select("line", "first").join(near(docs, lines), "line", "left")
+    # Stored, so that the join below deals both sides out itself and can split a hot line.
+    firsts = fixed(lines.select("line", "first").join(near(docs, lines), "line", "left"))
     place = F.struct("id", "line_no")
     why = F.when(F.col("first") < place, "exact").when(F.col("near_first").isNotNull(), "near")
     return rows.join(firsts, "line", "left").select("id", "line_no", "line", why.alias("why"))
