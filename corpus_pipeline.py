@@ -4,9 +4,9 @@ shards. Every stage gets what its predecessor kept, as stored Parquet."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, mixing, resemblance, shards, simhash, toxicity
+from tidemark.llm.classify import score
 from tidemark.session import shared_dir
 
 SHARDS = 24
@@ -23,7 +23,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; empty ones stay."""
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model, "_toxicity").filter("_toxicity < 0.5").select(docs.columns)
+    return docs.filter(score(model, docs["text"]) < 0.5)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

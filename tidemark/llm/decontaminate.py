@@ -192,5 +192,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules())
 
 def clean(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The documents without any overlap, where they are."""
-    marked = docs.withColumn("_overlaps", overlaps(benchmark, docs["text"], rules))
-    return marked.filter(F.size("_overlaps") == 0).select(docs.columns)
+    return docs.filter(F.size(overlaps(benchmark, docs["text"], rules)) == 0)

@@ -133,17 +133,18 @@ def mixed_documents(docs: DataFrame, rows: DataFrame, goals: DataFrame) -> DataF
     part = F.col("taken") - F.col("epochs") * F.col("size")
     inside = (F.col("before") < F.col("rest")) & (2 * part >= F.col("size"))
     place = F.struct(F.col("key"), F.coalesce(F.col("doc_id"), F.lit(-(2**63))))
-    cuts = shares.groupBy(F.col("source").alias("of")).agg(
-        F.first("epochs").alias("epochs"), F.max(F.when(inside, place)).alias("cut")
+    cuts = shares.groupBy(F.col("source").alias("_mix_source")).agg(
+        F.first("epochs").alias("_mix_epochs"), F.max(F.when(inside, place)).alias("_mix_cut")
     )
     small = broadcast_if_small(fixed(cuts), MOST_BROADCAST)
     key = F.struct(
         random_key(docs["doc_id"]).alias("key"),
         F.coalesce(docs["doc_id"], F.lit(-(2**63))).alias("col2"),
     )
-    joined = docs.join(small, docs["source"].eqNullSafe(small["of"]))
-    times = F.col("epochs").cast("int") + F.coalesce((key <= F.col("cut")).cast("int"), F.lit(0))
-    copies = joined.withColumn("_times", times).filter("_times > 0")
-    return copies.withColumn("_time", F.explode(F.expr("sequence(1, _times)"))).select(
+    joined = docs.join(small, docs["source"].eqNullSafe(small["_mix_source"]))
+    once_more = F.coalesce((key <= F.col("_mix_cut")).cast("int"), F.lit(0))
+    times = F.col("_mix_epochs").cast("int") + once_more
+    copies = joined.withColumn("_mix_times", times).filter("_mix_times > 0")
+    return copies.withColumn("_mix_time", F.explode(F.expr("sequence(1, _mix_times)"))).select(
         *(docs[c] for c in docs.columns)
     )

@@ -9,7 +9,8 @@ has the key can go back (`reveal`). Separators stay; check digits are computed a
 pseudonyms pass the same test.
 
 Dates move within spans of 65,536 days counted from 1900-01-01 (the first ends in 2079), years
-106 to 9973; three formats of one day stay one day. With slashes the month comes first, or the
+106 to 9973; three formats of one day stay one day (single digits without a zero come back from
+`reveal` with one). With slashes the month comes first, or the
 day where the first number exceeds 12. Null text stays null; text without candidates is not
 touched. Other digits and words are left as they are.
 """
@@ -260,7 +261,8 @@ def pseudonym(m: Column, key: str, reveal: bool = False) -> Column:
 
 
 def pseudonymised(docs: DataFrame, key: str, column: str = "text", reveal: bool = False) -> DataFrame:
-    """docs with `column` rewritten, and `pii_dates` and `pii_numbers`, how often it was."""
+    """docs with `column` rewritten, and `pii_dates` and `pii_numbers`, how often it was; columns
+    of these names are replaced."""
     text = docs[column]
     found = F.when(
         text.rlike(CANDIDATE),
@@ -268,17 +270,17 @@ def pseudonymised(docs: DataFrame, key: str, column: str = "text", reveal: bool
             F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda m: pseudonym(m, key, reveal)
         ),
     )
-    marked = docs.withColumn("_found", found)
+    marked = docs.withColumn("_pii_found", found)
     between = F.split(text, CANDIDATE, -1)
-    values = F.transform("_found", lambda s: F.coalesce(s["value"], s["was"]))
+    values = F.transform("_pii_found", lambda s: F.coalesce(s["value"], s["was"]))
     whole = F.array_join(
         F.flatten(F.zip_with(between, values, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), ""
     )
     count = lambda test: F.coalesce(
-        F.size(F.filter("_found", lambda s: s["value"].isNotNull() & test(s["kind"]))), F.lit(0)
+        F.size(F.filter("_pii_found", lambda s: s["value"].isNotNull() & test(s["kind"]))), F.lit(0)
     )
     out = {c: marked[c] for c in docs.columns}
-    out[column] = F.when(F.col("_found").isNull(), text).otherwise(whole)
-    out["pii_dates"] = F.when(F.col("_found").isNull(), 0).otherwise(count(lambda k: k == "date"))
-    out["pii_numbers"] = F.when(F.col("_found").isNull(), 0).otherwise(count(lambda k: k != "date"))
+    out[column] = F.when(F.col("_pii_found").isNull(), text).otherwise(whole)
+    out["pii_dates"] = F.when(F.col("_pii_found").isNull(), 0).otherwise(count(lambda k: k == "date"))
+    out["pii_numbers"] = F.when(F.col("_pii_found").isNull(), 0).otherwise(count(lambda k: k != "date"))
     return marked.select(*(c.alias(name) for name, c in out.items()))

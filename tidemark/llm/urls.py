@@ -58,7 +58,8 @@ def patterns_of(site: Column) -> Column:
 
 def judged(captures: DataFrame, entries: DataFrame, url: str = "url", on: str = "fetched_on") -> DataFrame:
     """captures with `matches`: the entries (list, pattern, from, to) active on the day of the
-    fetch, sorted. Columns of captures stay as they are, whatever their names."""
+    fetch, sorted. Other columns of captures stay as they are; one named `matches` is
+    replaced."""
     known = captures.withColumn("_site", site_of(captures[url]))
     sites = known.select("_site").filter("_site is not null").distinct()
     spans = intervals(entries).select(
@@ -75,6 +76,7 @@ def judged(captures: DataFrame, entries: DataFrame, url: str = "url", on: str =
         "_spans", lambda s: (s["from"] <= day) & (s["to"].isNull() | (day < s["to"]))
     )
     joined = known.join(listed, "_site", "left")
-    return joined.withColumn("matches", F.coalesce(active, F.array())).select(
-        *(captures[c] for c in captures.columns), "matches"
+    joined = joined.drop("matches").withColumn("matches", F.coalesce(active, F.array()))
+    return joined.select(
+        *(captures[c] for c in captures.columns if c != "matches"), "matches"
     )
