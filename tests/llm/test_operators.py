@@ -30,6 +30,49 @@ from tidemark.llm import (
 )
 from tidemark.llm.ngrams import features
 
+SCHEMA = (
+    "doc_id long, text string, lang string, source string, n_chars long, "
+    # names that the operators use inside
+    "shard int, slot int, virtual_slot int, key long, size long, before long, line long, fp long, "
+    "n int, low int, leaf int, epochs int, cut int, of string, id long, matches int, _overlaps int"
+)
+OF = [c.split()[0] for c in SCHEMA.split(", ")].index("of")
+EXTRA = SCHEMA.count(",") + 1 - 5
+
+
+@pytest.fixture(scope="session")
+def make_docs(spark):
+    def make(rows):
+        """rows: (doc_id, text) or (doc_id, text, source)"""
+        full = [
+            (r[0], r[1], "en", r[2] if len(r) > 2 else "s", len(r[1] or ""), *[7] * EXTRA)
+            for r in rows
+        ]
+        full = [r[:OF] + ("x",) + r[OF + 1 :] for r in full]
+        return spark.createDataFrame(full, SCHEMA)
+
+    return make
+
+
+@pytest.fixture(scope="session")
+def odd(make_docs):
+    """Null and empty texts, blanks, a very long text, repeated rows, null ids and sources."""
+    long = " ".join(f"w{i % 7919}x{i % 13}" for i in range(120_000))
+    return make_docs(
+        [
+            (1, None),
+            (2, ""),
+            (3, " \n\t \n"),
+            (4, long),
+            (5, "one two three four five six seven eight nine ten", None),
+            (5, "one two three four five six seven eight nine ten", None),
+            (None, "a row without an id and some words in it, ten", "z"),
+            (None, None, "z"),
+            (8, "ä ö ü ß", "z"),
+        ]
+    )
+
+
 BLANKS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
