@@ -5,12 +5,12 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from tidemark import Options
 from tidemark.operators.clean import prepare
 from tidemark.operators.lag import lag_stats, partition_lag
 from tidemark.operators.rates import arrival_rates, group_rates, partition_rates
 from tidemark.plans.reports import partition_detail
+from tidemark.workload import queries as registered
 from tidemark.workload.views import stored_tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -31,9 +31,9 @@ def exchanges(df):
     return re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(df))
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if not n.startswith("x")))
+@pytest.mark.parametrize("name", sorted(n for n in registered.queries() if not n.startswith("x")))
 def test_no_nested_loops_and_no_python(spark, name):
-    text = plan(entry.queries()[name](spark, FOLDER))
+    text = plan(registered.queries()[name](spark, FOLDER))
     for node in ("NestedLoop", "Cartesian", "Python", "ArrowEval"):
         assert node not in text
 

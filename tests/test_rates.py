@@ -1,7 +1,9 @@
 import random
+from dataclasses import replace
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from tidemark import Options
 from tidemark.operators import ordering
@@ -205,3 +207,52 @@ def test_legacy_rates(make):
     assert row.arrival_rate == round(100 / 7, 3)
     assert row.remaining_sec == pytest.approx((200 - 92 + 100 - 40) / 1.286)
     assert row.remaining_hms == "0:02:11"
+
+
+def history(make, listed):
+    """Eight polls of two partitions; the last one saw no group."""
+    times = {i: 10 * i for i in range(1, 10)}
+    committed = {i: {"g": {"t": {0: 10 * i, 1: i * i}}} for i in range(1, 9)}
+    ends = {i: {"t": {0: 20 * i, 1: 3 * i * i}} for i in range(1, 10)}
+    tables = make.tables(committed, ends, times=times)
+    if listed:
+        polled = tables.topic_offsets.groupBy("snapshot_id").agg(F.max("captured_at").alias("captured_at"))
+        polled = polled.withColumn("snapshot_seq", F.col("snapshot_id") + 100)
+        tables = replace(tables, snapshots=polled)
+    return tables
+
+
+@pytest.mark.parametrize("listed", [True, False])
+@pytest.mark.parametrize(
+    "first,last,options,want",
+    [
+        (4, 8, Options(max_pairs=2), [5, 6]),
+        (2, 3, Options(pairing="disjoint"), [3]),
+        (4, 8, Options(pairing="disjoint"), [5, 7]),
+        (4, 8, Options(pairing="disjoint", max_pairs=1), [5]),
+        (1, 8, Options(max_pairs=0), []),
+    ],
+)
+def test_slices_pair_like_histories(make, listed, first, last, options, want):
+    p = prepare(history(make, listed).between(first, last), options)
+    assert [r[0] for r in rows(rates(p), "snapshot_id")] == want
+    detail = rows(partition_history(p).select("snapshot_id").distinct(), "snapshot_id")
+    assert [r[0] for r in detail] == want
+    assert sorted({r[0] for r in rows(arrival_rates(p), "snapshot_id")}) == want
+
+
+@pytest.mark.parametrize("listed", [True, False])
+def test_latest_pair_counts_polls_without_groups(make, listed):
+    p = prepare(history(make, listed).latest_pair())
+    assert rows(rates(p), "snapshot_id") == []
+    assert rows(partition_history(p), "snapshot_id") == []
+    full = prepare(history(make, listed).between(1, 8).latest_pair())
+    assert rows(rates(full), "snapshot_id") == [(8,)]
+    assert {r[1] for r in rows(partition_history(full), "snapshot_id", "rate")} == {1.0, 1.5}
+
+
+def test_poll_missing_from_the_list_is_an_error(make):
+    tables = history(make, True)
+    short = replace(tables, snapshots=tables.snapshots.filter("snapshot_id <> 3"))
+    with pytest.raises(Exception, match="poll 3 is not in the list"):
+        rates(prepare(short)).collect()

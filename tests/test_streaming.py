@@ -4,7 +4,9 @@ from datetime import timedelta
 
 import pytest
 from conftest import EPOCH
+from pyspark.sql import functions as F
 
+from tidemark import Options
 from tidemark.operators.clean import prepare
 from tidemark.operators.lag import lag_stats
 from tidemark.operators.rates import rates
@@ -136,3 +138,29 @@ def test_loop_ignores_rows_of_finished_polls(spark, tmp_path):
     loop(one.unionByName(three), 2)
     loop.finish(spark, 2)
     same(loop.results(spark), rates(batch(spark, data)), RATE_COLUMNS)
+
+
+@pytest.mark.parametrize(
+    "options",
+    [Options(pairing="disjoint"), Options(max_pairs=2), Options(max_pairs=1, pairing="disjoint")],
+)
+def test_loop_counts_polls_like_batch(spark, tmp_path, options):
+    data = polls([0, 3, 4, 11, 30, 31])
+    loop = SnapshotLoop(lambda t: rates(prepare(t, options)), str(tmp_path / "loop"))
+    for i, chunk in enumerate(by_snapshot(data)):  # one poll per micro-batch
+        loop(spark.createDataFrame(chunk, ROWS), i)
+    loop.finish(spark, i)
+    tables = tables_of(spark.createDataFrame(data, ROWS))
+    same(loop.results(spark), rates(prepare(tables, options)), RATE_COLUMNS)
+
+
+def test_loop_hides_empty_groups(spark, tmp_path):
+    data = polls([0, 3, 4])
+    gone = data[0][2]
+    state = F.when(F.col("group_id") == gone, "Empty").otherwise("Stable")
+    loop = SnapshotLoop(lambda t: rates(prepare(t)), str(tmp_path / "loop"))
+    for i, chunk in enumerate(by_snapshot(data)):
+        loop(spark.createDataFrame(chunk, ROWS).withColumn("raw_state", state), i)
+    loop.finish(spark, i)
+    groups = {r.group_id for r in loop.results(spark).collect()}
+    assert groups == {r[2] for r in data} - {gone}

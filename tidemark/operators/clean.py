@@ -58,6 +58,11 @@ def match_groups(df: DataFrame, options: Options) -> DataFrame:
     return df
 
 
+def is_live() -> Column:
+    """True for rows whose group is not EMPTY, where a row carries its group's state columns."""
+    return group_state() != S.EMPTY
+
+
 def live_groups(groups: DataFrame, options: Options) -> DataFrame:
     """The groups an analysis looks at, with their state."""
     return group_scan(_visible(groups, options))
@@ -177,13 +182,14 @@ def topic_usage(prepared: Prepared) -> DataFrame:
 
 
 def error_rows(tables: LagTables) -> DataFrame:
-    """What the scans leave out, for those who want to see it."""
-    return (
-        tables.topic_offsets.filter(F.col("error").isNotNull())
-        .select("snapshot_id", F.lit("topic").alias("kind"), "topic", "partition", "error")
-        .unionByName(
-            tables.group_offsets.filter(F.col("error").isNotNull()).select(
-                "snapshot_id", F.lit("group").alias("kind"), "topic", "partition", "error"
-            )
+    """What the scans leave out, for those who want to see it; group_id is NULL for end
+    offsets."""
+    columns = ["group_id", "topic", "partition", "error"]
+    failed = [
+        df.filter(F.col("error").isNotNull()).select("snapshot_id", F.lit(kind).alias("kind"), *columns)
+        for kind, df in (
+            ("topic", tables.topic_offsets.withColumn("group_id", F.lit(None).cast("string"))),
+            ("group", tables.group_offsets),
         )
-    )
+    ]
+    return failed[0].unionByName(failed[1])

@@ -26,20 +26,28 @@ def _is_next(later: str = "next_seq") -> Column:
     return F.col(later) == F.col("snapshot_seq") + 1
 
 
-def _pair_filter(prepared: Prepared) -> Column:
+def _pair_filter(prepared: Prepared, first: Column | None = None) -> Column:
     """Which neighbours form a pair, told from the sequence number of the first."""
     options = prepared.options
+    first = F.col("snapshot_seq") if first is None else first
     keep = F.lit(True)
     if options.pairing == "disjoint":
-        keep = F.col("snapshot_seq") % 2 == 0
+        keep = first % 2 == 0
     if options.pair_limit is not None:
         step = 2 if options.pairing == "disjoint" else 1
-        keep = keep & (F.col("snapshot_seq") < step * options.pair_limit)
+        keep = keep & (first < step * options.pair_limit)
     return keep
 
 
 def _timed(df: DataFrame, prepared: Prepared) -> DataFrame:
-    return df.join(prepared.snapshots, "snapshot_id")
+    """Adds number and time of the poll. A poll that the list lacks stops the query: without
+    its number its rows would be lost."""
+    joined = df.join(prepared.snapshots, "snapshot_id", "left")
+    unknown = F.concat(
+        F.lit("poll "), F.col("snapshot_id").cast("string"), F.lit(" is not in the list of polls")
+    )
+    number = F.coalesce("snapshot_seq", F.raise_error(unknown).cast("bigint"))
+    return joined.withColumn("snapshot_seq", number)
 
 
 def _delta(later: str, earlier: str) -> Column:
@@ -279,10 +287,7 @@ def partition_history(prepared: Prepared, placed: bool = False) -> DataFrame:
     seconds = _delta("captured_us", "near_us")
     moved = F.col("committed_offset") - F.col("near_offset")
     adjacent = F.col("near_seq") == F.col("snapshot_seq") - 1
-    first = F.col("snapshot_seq") - 1
-    keep = F.col("snapshot_seq") > 0
-    if prepared.options.pairing == "disjoint":
-        keep = keep & (first % 2 == 0)
+    keep = (F.col("snapshot_seq") > 0) & _pair_filter(prepared, F.col("snapshot_seq") - 1)
     return (
         _neighbours(prepared, "previous", with_lag=True)
         .filter(in_home_block() & keep & F.col("lag").isNotNull())

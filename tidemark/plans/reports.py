@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -263,6 +265,8 @@ def summary(prepared: Prepared, topic_configs: DataFrame | None = None) -> DataF
 
 def lag_table(prepared: Prepared) -> DataFrame:
     """Lag per group and topic with the group's state."""
+    if prepared.groups is None:
+        raise ValueError("the lag table needs the groups table")
     keys = ["snapshot_id", "group_id"]
     return (
         lag_stats(prepared)
@@ -316,6 +320,67 @@ def summary_table(prepared: Prepared, topic_partitions: DataFrame | None = None)
     )
 
 
+def detail_header(
+    prepared: Prepared,
+    topic_partitions: DataFrame | None = None,
+    topic_configs: DataFrame | None = None,
+) -> DataFrame:
+    """What stands above the partitions of a group and topic: lag in all, its extremes and
+    skew, rates, ETA, and the topic's replication factor and settings."""
+    rows = rates(prepared)
+    if topic_partitions is not None:
+        copies = topic_info(topic_partitions)
+        rows = rows.join(
+            copies.select("snapshot_id", "topic", "replication_factor"),
+            ["snapshot_id", "topic"],
+            "left",
+        )
+    else:
+        rows = rows.withColumn("replication_factor", F.lit(None).cast("int"))
+    if topic_configs is not None:
+        rows = rows.join(config_maps(topic_configs), "topic", "left")
+    else:
+        rows = rows.withColumn("configs", F.lit(None).cast("map<string,string>"))
+    named = finish_report(rows, replace(prepared.options, only_issues=False))
+    return named.select(
+        *S.STATS_KEY,
+        "shown_group",
+        "shown_topic",
+        F.col("n_parts").alias("partitions"),
+        "lag_sum",
+        "lag_min",
+        "lag_max",
+        "par",
+        "cv",
+        "consumption_rate",
+        "arrival_rate",
+        "remaining_sec",
+        "remaining_hms",
+        "replication_factor",
+        "configs",
+    )
+
+
+def shown_detail(detail: DataFrame, options: Options = Options()) -> DataFrame:
+    """The partitions of `partition_detail` as text columns, names anonymised if asked for."""
+    named = finish_report(detail, replace(options, only_issues=False))
+    return named.select(
+        "snapshot_id",
+        "shown_group",
+        "shown_topic",
+        F.col("partition").cast("string").alias("partition"),
+        text.si_integer(F.col("committed_offset")).alias("committed_offset"),
+        text.si_integer(F.col("end_offset")).alias("end_offset"),
+        text.si_integer(F.col("lag")).alias("lag"),
+        text.si_rate(F.col("rate")).alias("rate"),
+        "replicas",
+        "isr",
+        "leader",
+        "lag_rank",
+        "rate_rank",
+    )
+
+
 def partition_detail(
     prepared: Prepared, topic_partitions: DataFrame | None = None
 ) -> DataFrame:

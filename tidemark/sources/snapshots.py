@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordering import dense_sequence
-from tidemark.session import broadcast_if_small, fixed
+from tidemark.session import fixed
 from tidemark.sources.tables import LagTables
 
 # Three bigints per poll: about 60 MB as a hash table. Beyond it, joins shuffle.
@@ -21,6 +21,9 @@ def snapshot_index(tables: LagTables) -> DataFrame:
     Every table counts, not only committed offsets: a poll that saw no group still
     separates its neighbours. The time of a poll is the last group-offset time in it, and
     filters on groups never change the list. A derived list is computed once and kept.
+
+    Numbers count from the first poll that the analysis covers, plus `tables.since`; so a
+    slice of a history pairs and counts like a history of its own, with or without a list.
     """
     given = tables.snapshots
     derived = given is None or "snapshot_seq" not in given.columns
@@ -45,4 +48,8 @@ def snapshot_index(tables: LagTables) -> DataFrame:
         F.col("snapshot_seq").cast("bigint").alias("snapshot_seq"),
         F.unix_micros("captured_at").alias("captured_us"),
     )
-    return broadcast_if_small(fixed(index) if derived else index, BROADCAST_POLLS)
+    if derived:
+        index = fixed(index)
+    n, first = index.agg(F.count("*"), F.min("snapshot_seq")).first()
+    index = index.withColumn("snapshot_seq", F.col("snapshot_seq") - (first or 0) + tables.since)
+    return F.broadcast(index) if n <= BROADCAST_POLLS else index

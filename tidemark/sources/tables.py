@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,9 @@ class LagTables:
     """The tables one analysis reads. Only the two offset tables are required.
 
     `snapshots` (snapshot_id, captured_at[, snapshot_seq]) is the list of polls. Without
-    it the list is derived from the other tables, which costs a narrow scan of each.
+    it the list is derived from the other tables, which costs a narrow scan of each. A poll
+    that the tables have and the list lacks is an error when the rates are computed.
+    `since` is the number of the first poll, where earlier ones were analysed before.
     """
 
     group_offsets: DataFrame
@@ -39,6 +42,12 @@ class LagTables:
     topic_partitions: DataFrame | None = None
     topic_configs: DataFrame | None = None
     brokers: DataFrame | None = None
+    since: int = 0
+
+    @classmethod
+    def names(cls) -> list[str]:
+        """The tables among the fields."""
+        return [name for name in cls.__annotations__ if name != "since"]
 
     def between(self, first: int, last: int) -> "LagTables":
         """Only the snapshots first..last, as a filter that reaches every scan."""
@@ -48,19 +57,23 @@ class LagTables:
                 return df
             return df.filter(F.col("snapshot_id").between(first, last))
 
-        return replace(self, **{name: cut(getattr(self, name)) for name in self.__annotations__})
+        return replace(self, **{name: cut(getattr(self, name)) for name in self.names()})
 
     def latest_pair(self) -> "LagTables":
         """The last two snapshots: two scalars come to the driver, nothing else."""
-        ids = (self.snapshots if self.snapshots is not None else self.group_offsets).select(
-            "snapshot_id"
-        )
+        listed = [self.snapshots] if self.snapshots is not None else self._polled()
+        ids = reduce(DataFrame.unionByName, [t.select("snapshot_id") for t in listed])
         last = ids.agg(F.max("snapshot_id")).first()[0]
         if last is None:
             return self
         before = ids.filter(F.col("snapshot_id") < last).agg(F.max("snapshot_id")).first()[0]
         return self.between(last if before is None else before, last)
 
+    def _polled(self) -> list[DataFrame]:
+        """The tables that tell which polls there were; a poll may have seen no group."""
+        polled = (self.group_offsets, self.topic_offsets, self.groups)
+        return [t for t in polled if t is not None]
+
     @staticmethod
     def load(spark: SparkSession, folder: str, fmt: str = "parquet", **options) -> "LagTables":
         """Every table found as `<folder>/<name>`; missing optional ones stay None."""
@@ -73,7 +86,7 @@ class LagTables:
                 return None
             return read_table(spark, name, f"{folder}/{name}", fmt, **options)
 
-        return LagTables(**{name: table(name) for name in LagTables.__annotations__})
+        return LagTables(**{name: table(name) for name in LagTables.names()})
 
 
 def group_scan(groups: DataFrame) -> DataFrame:

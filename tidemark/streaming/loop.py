@@ -16,8 +16,10 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.sources.tables import LagTables
 
 
-def tables_of(rows: DataFrame) -> LagTables:
-    """Snapshot rows (one per group and partition) as the two offset tables."""
+def tables_of(rows: DataFrame, since: int = 0) -> LagTables:
+    """Snapshot rows (one per group and partition) as the two offset tables. With a column
+    `raw_state` (and member_count, describe_failed) they also give the groups' states, so
+    that EMPTY groups are hidden on every poll. since: number of the first poll."""
     blank = F.lit(None).cast("string").alias("error")
     return LagTables(
         group_offsets=rows.select(
@@ -33,9 +35,23 @@ def tables_of(rows: DataFrame) -> LagTables:
         .groupBy("snapshot_id", "topic", "partition")
         .agg(F.max("captured_at").alias("captured_at"), F.max("end_offset").alias("end_offset"))
         .withColumn("error", blank),
+        groups=_groups_of(rows),
+        since=since,
     )
 
 
+def _groups_of(rows: DataFrame) -> DataFrame | None:
+    if "raw_state" not in rows.columns:
+        return None
+    given = {
+        "member_count": F.lit(0),
+        "describe_failed": F.lit(False),
+        "is_simple": F.lit(False),
+    }
+    filled = [F.col(c) if c in rows.columns else v.alias(c) for c, v in given.items()]
+    return rows.select("snapshot_id", "group_id", "raw_state", *filled).distinct()
+
+
 @dataclass
 class SnapshotLoop:
     """
@@ -45,6 +61,8 @@ class SnapshotLoop:
     A snapshot counts as finished when a row of a later one arrives; its own rows may be
     spread over any number of micro-batches before that, and are dropped after it. Every
     micro-batch writes folders named by its id, so a repeated one replaces its own output.
+    The number of a snapshot is carried along, so that pairing and a limit of pairs mean the
+    same as over the whole history.
     """
 
     analyse: Callable[[LagTables], DataFrame]
@@ -62,6 +80,7 @@ class SnapshotLoop:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = batch.withColumn("finished", F.lit(False))
+        fresh = fresh.withColumn("poll_number", F.lit(None).cast("bigint"))
         before = self._read(spark, batch_id - 1)
         if before is not None:
             done = before.filter("finished").agg(F.max("snapshot_id")).first()[0]
@@ -76,9 +95,13 @@ class SnapshotLoop:
             finished = rows.filter(F.col("snapshot_id") < newest) if newest is not None else rows
             last = finished.agg(F.max("snapshot_id")).first()[0]
             if last is not None:
-                self._emit(finished, batch_id)
+                since = self._since(finished)
+                self._emit(finished, batch_id, since)
+                polls = finished.agg(F.count_distinct("snapshot_id")).first()[0]
                 rows_kept = rows.filter(F.col("snapshot_id") >= last)
                 rows_kept = rows_kept.withColumn("finished", F.col("snapshot_id") == last)
+                number = F.when(F.col("finished"), F.lit(since + polls - 1))
+                rows_kept = rows_kept.withColumn("poll_number", number.cast("bigint"))
             else:
                 rows_kept = rows
             rows_kept.write.mode("overwrite").parquet(self._carried(batch_id))
@@ -86,8 +109,13 @@ class SnapshotLoop:
             rows.unpersist()
         self._forget(spark, batch_id - 2)
 
-    def _emit(self, rows: DataFrame, batch_id: int) -> None:
-        result = self.analyse(tables_of(rows.drop("finished")))
+    @staticmethod
+    def _since(finished: DataFrame) -> int:
+        """The number of the first finished snapshot: the carried one, or the very first."""
+        return finished.agg(F.max("poll_number")).first()[0] or 0
+
+    def _emit(self, rows: DataFrame, batch_id: int, since: int) -> None:
+        result = self.analyse(tables_of(rows.drop("finished", "poll_number"), since))
         result.write.mode("overwrite").parquet(f"{self.folder}/out/batch_id={batch_id}")
 
     def _forget(self, spark: SparkSession, batch_id: int) -> None:
@@ -99,7 +127,7 @@ class SnapshotLoop:
         """After the stream has ended: also take the newest snapshot as finished."""
         rows = self._read(spark, last_batch_id)
         if rows is not None:
-            self._emit(rows, last_batch_id + 1)
+            self._emit(rows, last_batch_id + 1, self._since(rows))
 
     def results(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.folder}/out").drop("batch_id")

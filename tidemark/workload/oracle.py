@@ -15,7 +15,7 @@ ev as (
                    else user_id end as int) as partition,
          (epoch_us(ts) - 1704067200000000 + 3599999999) // 3600000000 as hour_no
   from events),
-hours as (select unnest(generate_series(0,744)) as h),
+hours as (select unnest(generate_series(0, (select max(hour_no) + 48 from ev))) as h),
 days as (select (max(hour_no) + 23) // 24 as last_day from ev),
 counts as (select topic, partition, hour_no, count(*) as n from ev group by all),
 cum as materialized (
@@ -569,6 +569,73 @@ def oracle_sql() -> dict[str, str]:
         f"select {key}, events_consumed, remaining_sec from rates",
         _analysis(pairs="a.snapshot_id <= (select min(snapshot_id) + 4 from snaps)"),
     )
+    sliced = "select snapshot_id, prev_snapshot_id, group_id, topic, events_consumed, remaining_sec from rates"
+    sql["k0b_slice"] = _query(
+        sliced, _analysis(pairs="a.snapshot_id between 5 and 10 and a.snapshot_id % 2 = 1")
+    )
+    sql["p6_slice"] = _query(sliced, _analysis(pairs="a.snapshot_id between 5 and 6"))
+    sql["p6_slice_detail"] = _query(
+        flat + "partition, lag, rate from detail where snapshot_id in (6, 8)", full, _DETAIL
+    )
+    sql["d1_last_pair"] = sql["d1_partition_detail"] + (
+        " where snapshot_id = (select max(snapshot_id) from snaps)"
+    )
+    sql["d1_header"] = _query(
+        f"""select {key}, n_parts as partitions, lag_sum, lag_min, lag_max, par, cv,
+        cons as consumption_rate, arr as arrival_rate, remaining_sec, remaining_hms,
+        max(case when m.topic is not null and not failed then 2 end) as replication_factor,
+        cast((select count(*) from configs c where c.topic = rates.topic) as int) as n_configs
+        from rates left join meta m using (snapshot_id, topic) group by all""",
+        full,
+        _METADATA,
+    )
+    sql["o8_shown_detail"] = _query(
+        f"""select snapshot_id, {group_name} as shown_group, {topic_name} as shown_topic,
+        cast(partition as varchar) as partition, {_si_integer('committed_offset')} as committed_offset,
+        {_si_integer('end_offset')} as end_offset, {_si_integer('lag')} as lag,
+        {_si_rate('rate')} as rate, lag_rank, rate_rank, {meta_text} from ({placed})""",
+        full,
+        _DETAIL,
+        _METADATA,
+    )
+    sql["o3_brokers"] = _query(
+        "select cast(leader as varchar) as key, leader as id, 'host-' || leader as host, "
+        "9092 as port, 'host-1' as broker_name, 'demo' as cluster_id, count(*) as led "
+        "from meta where not failed group by all",
+        _METADATA,
+    )
+    by = "row_number() over (partition by snapshot_id order by"
+    sql["p1_more_sort_keys"] = _query(
+        f"""select {key}, {by} group_id, topic) as by_group,
+        {by} parts, group_id, topic) as by_partitions,
+        {by} consumption_rate, group_id, topic) as by_rate,
+        {by} par desc, group_id desc, topic desc) as by_par,
+        {by} cv desc, group_id desc, topic desc) as by_cv
+        from report""",
+        full,
+        _REPORT,
+    )
+    sql["p1_reversed"] = _query(
+        f"""select {key}, {by} lag, group_id, topic) as by_lag,
+        {by} topic desc, group_id desc) as by_topic from report""",
+        full,
+        _REPORT,
+    )
+    within = f"row_number() over (partition by {key} order by"
+    sql["p4_detail_sort_keys"] = _query(
+        f"""select {key}, partition, {within} partition) as by_partition,
+        {within} committed_offset desc, partition) as by_groupoffset,
+        {within} end_offset desc, partition) as by_topicoffset,
+        {within} rate desc, partition) as by_rate from detail""",
+        full,
+        _DETAIL,
+    )
+    sql["f12_error_rows_listed"] = _query(
+        """select snapshot_id, 'topic' as kind, cast(null as varchar) as group_id, topic,
+        partition + 1000000 as partition, 'LEADER_NOT_AVAILABLE' as error from topic_offsets where partition % 50 = 0 union all
+        select snapshot_id, 'group', 'g-broken', topic, partition, 'COORDINATOR_NOT_AVAILABLE'
+        from commits where group_id = 'g-realtime' and partition = 0"""
+    )
     # The first-generation tool: negative offsets and lags count as they are, the end
     # offsets asked for are those of the first group of a topic, and sums are independent.
     legacy = """

@@ -157,6 +157,11 @@ def f12_error_rows(t):
     return clean.error_rows(t).groupBy("snapshot_id", "kind").agg(F.count("*").alias("n"))
 
 
+@_on_tables
+def f12_error_rows_listed(t):
+    return clean.error_rows(t)
+
+
 @_on_prepared()
 def j1_partition_lag(p):
     return lag.partition_lag(p)
@@ -416,6 +421,112 @@ def p6_poll_budget(p):
     return rates.rates(p).select(*STATS_KEY, "events_consumed", "remaining_sec")
 
 
+def _sliced(options: Options):
+    """Prepared tables of the snapshots 5 to 11 only."""
+
+    def register(query: Callable[[Prepared], DataFrame]):
+        _registry[query.__name__] = lambda spark, sf_dir: query(
+            prepare(stored_tables(spark, sf_dir).between(5, 11), options)
+        )
+        return query
+
+    return register
+
+
+def _pairs(p):
+    return rates.rates(p).select(
+        "snapshot_id", "prev_snapshot_id", "group_id", "topic", "events_consumed", "remaining_sec"
+    )
+
+
+@_sliced(Options(pairing="disjoint"))
+def k0b_slice(p):
+    return _pairs(p)
+
+
+@_sliced(Options(max_pairs=2))
+def p6_slice(p):
+    return _pairs(p)
+
+
+@_sliced(Options(max_pairs=2, pairing="disjoint"))
+def p6_slice_detail(p):
+    return rates.partition_history(p).select(*STATS_KEY, "partition", "lag", "rate")
+
+
+@_on_tables
+def d1_last_pair(t):
+    return reports.partition_detail(prepare(t.latest_pair()), t.topic_partitions)
+
+
+@_on_tables
+def d1_header(t):
+    return reports.detail_header(prepare(t), t.topic_partitions, t.topic_configs).select(
+        *STATS_KEY,
+        "partitions",
+        "lag_sum",
+        "lag_min",
+        "lag_max",
+        "par",
+        "cv",
+        "consumption_rate",
+        "arrival_rate",
+        "remaining_sec",
+        "remaining_hms",
+        "replication_factor",
+        F.coalesce(F.size("configs"), F.lit(0)).alias("n_configs"),
+    )
+
+
+@_on_tables
+def o8_shown_detail(t):
+    options = Options(anonymize=True)
+    detail = reports.partition_detail(prepare(t, options), t.topic_partitions)
+    return reports.shown_detail(detail, options)
+
+
+@_on_tables
+def o3_brokers(t):
+    shape = "struct<brokers:map<string,struct<id:int,host:string,port:int>>,broker_name:string,cluster_id:string>"
+    read = documents.broker_documents(t.brokers, "host-1", "demo").select(
+        F.from_json("document", shape).alias("d")
+    )
+    led = reports.topic_info_parts(t.topic_partitions).groupBy("leader").agg(F.count("*").alias("led"))
+    rows = read.select(F.explode("d.brokers"), "d.broker_name", "d.cluster_id")
+    return rows.select("key", "value.*", "broker_name", "cluster_id").join(
+        led, F.col("id") == F.col("leader")
+    ).drop("leader")
+
+
+def _numbered_by(rows, keys, number):
+    rows = fixed(rows)  # numbered several times
+    result = None
+    for key in keys:
+        own = number(rows, key).withColumnRenamed("position", f"by_{key}")
+        kept = [c for c in (*STATS_KEY, "partition") if c in rows.columns]
+        own = own.select(*kept, f"by_{key}")
+        result = own if result is None else result.join(own, kept)
+    return result
+
+
+@_on_prepared()
+def p1_more_sort_keys(p):
+    keys = ("group", "partitions", "rate", "par", "cv")
+    return _numbered_by(reports.report(p), keys, reports.number_report)
+
+
+@_on_prepared()
+def p1_reversed(p):
+    reverse = lambda rows, key: reports.number_report(rows, key, key == "topic")
+    return _numbered_by(reports.report(p), ("lag", "topic"), reverse)
+
+
+@_on_prepared()
+def p4_detail_sort_keys(p):
+    keys = ("partition", "groupoffset", "topicoffset", "rate")
+    return _numbered_by(rates.partition_history(p), keys, reports.number_detail)
+
+
 @_on_prepared()
 def p4_detail_sorted(p):
     return reports.number_detail(rates.partition_history(p), "lag").select(
@@ -584,7 +695,9 @@ def x1_streaming_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
         scans.stream_table(spark, name, f"{folder}/{name}")
         for name in ("group_offsets", "topic_offsets")
     ]
-    rows = windows.snapshot_rows(*offsets, DAY, "0 seconds").filter("group_id <> 'g-empty'")
+    rows = windows.snapshot_rows(*offsets, DAY, "0 seconds")
+    visible = scans.read_table(spark, "groups", f"{folder}/groups").filter(clean.is_live())
+    rows = rows.join(visible, ["snapshot_id", "group_id"], "left_semi")
     return _finished(windows.streaming_lag(rows)).drop("lag_mean")
 
 
@@ -594,7 +707,8 @@ def _row_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x2_streaming_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _finished(windows.streaming_rates(_row_stream(spark, sf_dir), DAY, "0 seconds"))
+    rows = _row_stream(spark, sf_dir).filter(clean.is_live())
+    return _finished(windows.streaming_rates(rows, DAY, "0 seconds"))
 
 
 def x3_poll_loop(spark: SparkSession, sf_dir: str) -> DataFrame:

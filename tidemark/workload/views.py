@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.session import shared_dir
 from tidemark.sources.logs import committed_offsets_from_log, end_offsets_from_log
 from tidemark.sources.snapshots import snapshot_index
-from tidemark.sources.tables import LagTables
+from tidemark.sources.tables import LagTables, group_scan
 
 EPOCH_US = 1704067200000000  # 2024-01-01, the first day of the events
 HOUR_US = 3600000000
@@ -306,14 +306,19 @@ _written: set[str] = set()
 
 
 def stored_snapshot_rows(spark: SparkSession, sf_dir: str) -> str:
-    """Input of the streaming queries: committed and end offset in one row."""
+    """Input of the streaming queries: committed and end offset and the group's state in one
+    row."""
     tables = stored_tables(spark, sf_dir)
     folder = f"{stored_folder(spark, sf_dir)}/snapshot_rows"
     if folder not in _written:
         ends = tables.topic_offsets.filter("error is null").select(
             "snapshot_id", "topic", "partition", "end_offset"
         )
-        rows = tables.group_offsets.filter("error is null and group_id <> 'g-empty'").drop("error")
+        states = group_scan(tables.groups).select(
+            "snapshot_id", "group_id", "raw_state", "member_count", "describe_failed"
+        )
+        rows = tables.group_offsets.filter("error is null").drop("error")
+        rows = rows.join(states, ["snapshot_id", "group_id"])
         rows.join(ends, ["snapshot_id", "topic", "partition"], "left").write.parquet(folder)
         _written.add(folder)
     return folder
