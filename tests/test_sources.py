@@ -6,6 +6,7 @@ from conftest import EPOCH, rows
 
 from tidemark import LagTables
 from tidemark.schemas import SCHEMAS
+from tidemark.sources import logs
 from tidemark.sources.logs import committed_offsets_from_log, end_offsets_from_log
 from tidemark.sources.snapshots import snapshot_index
 from tidemark.sources.tables import read_table
@@ -17,8 +18,10 @@ def index(make, seconds):
     return snapshot_index(LagTables(group_offsets=None, topic_offsets=None, snapshots=polls))
 
 
+@pytest.mark.parametrize("stretches", [1 << 16, 2])
 @pytest.mark.parametrize("polls", [{5: 10, 6: 20, 9: 30}, {1: 0, 2: 1, 3: 500, 4: 501, 8: 502.5}, {4: 7}])
-def test_logs_as_of_irregular_polls(make, polls):
+def test_logs_as_of_irregular_polls(make, monkeypatch, polls, stretches):
+    monkeypatch.setattr(logs, "STRETCHES", stretches)
     rng = random.Random(1)
     log, commits = [], []
     for p in range(3):
@@ -44,6 +47,31 @@ def test_logs_as_of_irregular_polls(make, polls):
     assert rows(committed, "snapshot_id", "partition", "committed_offset") == sorted(want_committed, key=repr)
 
 
+@pytest.mark.parametrize("stretches", [1 << 16, 7])
+def test_a_record_meets_one_stretch_however_uneven_the_polls(make, monkeypatch, stretches):
+    """A poll a year before the others: no more joined rows than records."""
+    monkeypatch.setattr(logs, "STRETCHES", stretches)
+    polls = logs._Polls(index(make, {1: -31536000} | {i: i for i in range(2, 102)}))
+    assert len(polls.bounds) <= stretches
+    log = make.spark.range(5000).selectExpr(f"timestamp'{EPOCH}' + make_interval(0,0,0,0,0,0,id / 50) as timestamp")
+    found = logs._assign(log, log["timestamp"], polls)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and "Generate" not in plan
+    counts = {r.snapshot_seq: r["count"] for r in found.groupBy("snapshot_seq").count().collect()}
+    # Poll i has number i - 1 and takes the records after second i - 1 up to second i; the
+    # first one after the early poll takes those up to second 2.
+    assert counts == {1: 101, 99: 49} | {i: 50 for i in range(2, 99)}
+
+
+def test_polls_at_one_time_and_without_a_time(make):
+    log = [dict(topic="t", partition=0, offset=o, timestamp=EPOCH + timedelta(seconds=o)) for o in (4, 15)]
+    ends = end_offsets_from_log(make.frame("topic_log", log), index(make, {1: 10, 2: 10, 3: 20}))
+    assert rows(ends, "snapshot_id", "end_offset") == [(1, 5), (2, 5), (3, 16)]
+    bare = make.frame("topic_log", log), index(make, {1: 0}).withColumn("captured_us", logs.F.lit(None).cast("bigint"))
+    with pytest.raises(ValueError):
+        end_offsets_from_log(*bare)
+
+
 def test_end_never_moves_back(make):
     log = [dict(topic="t", partition=0, offset=o, timestamp=EPOCH + timedelta(seconds=s)) for o, s in [(0, 5), (9, 6), (1, 15)]]
     ends = end_offsets_from_log(make.frame("topic_log", log), index(make, {1: 10, 2: 20}))

@@ -6,65 +6,73 @@ combine before the shuffle, and snapshots without a record take over the value b
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordering import dense_sequence
+from tidemark.session import fixed
 from tidemark.sources.snapshots import BROADCAST_POLLS
 
+# Bounds of stretches of polls that are known to the driver and sent with every task: half
+# a megabyte at most.
+STRETCHES = 1 << 16
 
-def _extent(snapshots: DataFrame) -> tuple[int, int, int]:
-    """First time, last number and mean poll period: three numbers on the driver."""
-    first, last, last_seq = snapshots.agg(
-        F.min("captured_us"), F.max("captured_us"), F.max("snapshot_seq")
-    ).first()
-    if first is None:
-        raise ValueError("no snapshots")
-    return first, last_seq, max(1, (last - first) // max(1, last_seq))
 
+class _Polls:
+    """The list of polls in stretches of equally many, whatever the time between them.
 
-def _assign(log: DataFrame, time: Column, snapshots: DataFrame, extent: tuple) -> DataFrame:
+    stretches  stretch, times (rising), seqs: at most STRETCHES rows of n / STRETCHES polls
+    bounds     the last time of each stretch
+    last_seq   the last number
+    """
+
+    def __init__(self, snapshots: DataFrame):
+        self.n, self.last_seq = snapshots.agg(F.count("*"), F.max("snapshot_seq")).first()
+        if not self.n:
+            raise ValueError("no snapshots")
+        length = -(-self.n // STRETCHES)
+        # Of polls at the same time the first one gets the records.
+        timed = snapshots.groupBy("captured_us").agg(F.min("snapshot_seq").alias("seq"))
+        numbered = dense_sequence(timed.filter("captured_us is not null"), "captured_us", "_n")
+        poll = F.sort_array(F.collect_list(F.struct("captured_us", "seq")))
+        self.stretches = fixed(
+            numbered.groupBy(F.expr(f"_n div {length}").cast("int").alias("stretch"))
+            .agg(poll.alias("polls"))
+            .select(
+                "stretch",
+                F.col("polls.captured_us").alias("times"),
+                F.col("polls.seq").alias("seqs"),
+            )
+        )
+        ends = self.stretches.select("stretch", F.element_at("times", -1).alias("end"))
+        self.bounds = [r.end for r in ends.orderBy("stretch").collect()]
+        if not self.bounds:
+            raise ValueError("snapshots without a time")
+
+
+def _assign(log: DataFrame, time: Column, polls: _Polls) -> DataFrame:
     """Add snapshot_seq: the first snapshot at or after `time`.
 
-    Snapshot i covers the time after snapshot i-1 up to its own. Both the intervals and
-    the records are cut into slots one mean poll period long and meet by slot: about two
-    interval rows per snapshot, and about two candidates per record. Records after the
-    last snapshot belong to none.
+    A record finds its stretch by binary search in the bounds, and meets exactly one row:
+    that stretch, whose few polls it is compared with. So uneven polls make no candidates.
+    Records after the last snapshot belong to none.
     """
-    first, last_seq, period = extent
-    order = Window.partitionBy(F.expr("snapshot_seq div 65536")).orderBy("snapshot_seq")
-    # A stretch of 65,536 snapshots is numbered in one task; the first of a stretch looks
-    # up its predecessor by number.
-    before = snapshots.select(
-        (F.col("snapshot_seq") + 1).alias("snapshot_seq"),
-        F.col("captured_us").alias("_carried"),
-    ).filter("snapshot_seq % 65536 = 0")
-    slot = lambda us: F.floor((us - F.lit(first)) / F.lit(period)).cast("bigint")
-    intervals = (
-        snapshots.withColumn("_from", F.lag("captured_us").over(order))
-        .join(before, "snapshot_seq", "left")
-        .withColumn("_from", F.coalesce("_from", "_carried", F.lit(-(1 << 62))))
-        .filter("_from < captured_us")
-        .select(
-            "snapshot_seq",
-            "_from",
-            F.col("captured_us").alias("_to"),
-            F.explode(
-                F.sequence(
-                    F.greatest(slot(F.greatest("_from", F.lit(first))), F.lit(0)),
-                    slot(F.col("captured_us")),
-                )
-            ).alias("_slot"),
-        )
-    )
-    us = F.unix_micros(time)
-    records = log.withColumn("_us", us).withColumn(
-        "_slot", F.greatest(slot(F.greatest("_us", F.lit(first))), F.lit(0).cast("bigint"))
+    # Buckets are closed on the left, stretches on the right; whole microseconds, which a
+    # double holds exactly up to the year 2255.
+    bounds = [float("-inf"), *map(float, polls.bounds), float("inf")]
+    search = Bucketizer(splits=bounds, inputCol="_at", outputCol="_bucket", handleInvalid="skip")
+    timed = log.withColumn("_us", F.unix_micros(time)).filter("_us is not null")
+    records = search.transform(timed.withColumn("_at", (F.col("_us") - 1).cast("double")))
+    stretches = polls.stretches
+    if polls.n <= BROADCAST_POLLS:
+        stretches = F.broadcast(stretches)
+    earlier = F.size(F.filter("times", lambda t: t < F.col("_us")))
+    return (
+        records.withColumn("stretch", F.col("_bucket").cast("int"))
+        .join(stretches, "stretch")
+        .withColumn("snapshot_seq", F.element_at("seqs", earlier + 1))
     )
-    # Slots and polls are equally many, so about two rows per poll. A short list is sent to
-    # the records; only beyond that do the records move.
-    if last_seq < BROADCAST_POLLS // 2:
-        intervals = F.broadcast(intervals)
-    return records.join(intervals, "_slot").filter("_us > _from and _us <= _to")
 
 
 def _fill(points: DataFrame, keys: list[str], value: str, last_seq: int) -> DataFrame:
@@ -77,8 +85,8 @@ def _fill(points: DataFrame, keys: list[str], value: str, last_seq: int) -> Data
     )
 
 
-def _stamped(filled: DataFrame, snapshots: DataFrame, last_seq: int) -> DataFrame:
-    if last_seq < BROADCAST_POLLS:
+def _stamped(filled: DataFrame, snapshots: DataFrame, polls: _Polls) -> DataFrame:
+    if polls.n <= BROADCAST_POLLS:
         snapshots = F.broadcast(snapshots)
     return (
         filled.join(snapshots, "snapshot_seq")
@@ -89,11 +97,11 @@ def _stamped(filled: DataFrame, snapshots: DataFrame, last_seq: int) -> DataFram
 
 def end_offsets_from_log(log: DataFrame, snapshots: DataFrame) -> DataFrame:
     """topic_offsets from a topic log: the offset after the last record so far."""
-    extent = _extent(snapshots)
+    polls = _Polls(snapshots)
     keys = ["topic", "partition"]
     slim = log.select(*keys, "offset", "timestamp")
     points = (
-        _assign(slim, F.col("timestamp"), snapshots, extent)
+        _assign(slim, F.col("timestamp"), polls)
         .groupBy(*keys, "snapshot_seq")
         .agg((F.max("offset") + 1).alias("end_offset"))
     )
@@ -102,8 +110,8 @@ def end_offsets_from_log(log: DataFrame, snapshots: DataFrame) -> DataFrame:
         Window.unboundedPreceding, Window.currentRow
     )
     points = points.withColumn("end_offset", F.max("end_offset").over(so_far))
-    filled = _fill(points, keys, "end_offset", extent[1])
-    return _stamped(filled, snapshots, extent[1]).select(
+    filled = _fill(points, keys, "end_offset", polls.last_seq)
+    return _stamped(filled, snapshots, polls).select(
         "snapshot_id", "captured_at", *keys, "end_offset", "error"
     )
 
@@ -111,16 +119,16 @@ def end_offsets_from_log(log: DataFrame, snapshots: DataFrame) -> DataFrame:
 def committed_offsets_from_log(log: DataFrame, snapshots: DataFrame) -> DataFrame:
     """group_offsets from a commit log: the last commit so far (the largest offset among
     commits with the same time)."""
-    extent = _extent(snapshots)
+    polls = _Polls(snapshots)
     keys = ["group_id", "topic", "partition"]
     slim = log.select(*keys, "offset", "commit_ts")
     points = (
-        _assign(slim, F.col("commit_ts"), snapshots, extent)
+        _assign(slim, F.col("commit_ts"), polls)
         .groupBy(*keys, "snapshot_seq")
         .agg(F.max(F.struct("_us", "offset")).alias("_last"))
         .withColumn("committed_offset", F.col("_last.offset"))
     )
-    filled = _fill(points, keys, "committed_offset", extent[1])
-    return _stamped(filled, snapshots, extent[1]).select(
+    filled = _fill(points, keys, "committed_offset", polls.last_seq)
+    return _stamped(filled, snapshots, polls).select(
         "snapshot_id", "captured_at", *keys, "committed_offset", "error"
     )
