@@ -102,6 +102,17 @@ def test_page(report):
     assert reports.page(report.filter("false"), 0, 5).count() == 0
 
 
+def test_pages_of_any_depth(report):
+    """Every window equals the slice of the sorted rows, and none is a top-k of its offset."""
+    names = [(r.group_id, r.topic) for r in reports.sort_report(report, "lag").collect()]
+    for offset in range(5):
+        for size in (1, 3, 9):
+            found = reports.page(report, offset, size, "lag")
+            assert [(r.group_id, r.topic) for r in found.collect()] == names[offset : offset + size]
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "TakeOrdered" not in plan and "Limit" not in plan
+
+
 def test_follow(report):
     assert rows(reports.follow(report), "group_id", "lag") == [("late", 4200)]
     tied = report.filter("group_id <> 'late'")

@@ -152,15 +152,33 @@ def page(
     reverse: bool | None = None,
 ) -> DataFrame:
     """Rows offset .. offset+size-1 of the sorted report. An offset beyond the end shows
-    the last row. first_row, last_row, n_rows and percent describe the window."""
-    rows = fixed(rows)  # counted, then sorted
-    total = rows.count()
+    the last row. first_row, last_row, n_rows and percent describe the window.
+
+    The report is sorted once over all tasks and kept; the sizes of the sort ranges tell
+    which rows of which range are meant, so a deep page gathers no more than a first one.
+    """
+    ranged = fixed(
+        rows.orderBy(*sort_columns(key, reverse)).withColumn(
+            "_id", F.monotonically_increasing_id()
+        )
+    )
+    # As many rows as the sort has ranges.
+    sizes = ranged.groupBy(F.shiftright("_id", 33).alias("range")).count().orderBy("range")
+    total, places = 0, []
+    for part in sizes.collect():
+        places.append((part["range"] << 33, total, part["count"]))
+        total += part["count"]
     start = max(0, min(offset, total - 1))
     end = min(start + size, total)
+    inside = F.lit(False)
+    for first_id, before, n in places:
+        low, high = max(start - before, 0), min(end - before, n)
+        if low < high:
+            inside = inside | F.col("_id").between(first_id + low, first_id + high - 1)
     return (
-        rows.orderBy(*sort_columns(key, reverse))
-        .offset(start)
-        .limit(size)
+        ranged.filter(inside)
+        .orderBy("_id")
+        .drop("_id")
         .withColumn("first_row", F.lit(start + 1).cast("bigint"))
         .withColumn("last_row", F.lit(end).cast("bigint"))
         .withColumn("n_rows", F.lit(total).cast("bigint"))
