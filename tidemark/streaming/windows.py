@@ -16,6 +16,22 @@ from tidemark.operators.lag import stat_columns, with_shape
 from tidemark.operators.rates import eta_seconds
 
 
+# Shares that the groups of one topic are dealt into before a join with what the topic has
+# once: streaming joins are not split at run time. It is part of the state's layout, so a
+# running stream keeps the number it started with.
+SHARES = 8
+
+
+def _dealt(rows: DataFrame, shares: int) -> DataFrame:
+    """Rows of groups, with the share their group belongs to."""
+    return rows.withColumn("share", F.pmod(F.hash("group_id"), F.lit(shares)))
+
+
+def _repeated(rows: DataFrame, shares: int) -> DataFrame:
+    """Rows that every group of a topic needs, once for each share."""
+    return rows.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+
+
 def _offset() -> Column:
     return F.when(F.col("committed_offset") >= 0, F.col("committed_offset"))
 
@@ -27,10 +43,15 @@ def _lag() -> Column:
 
 
 def snapshot_rows(
-    group_offsets: DataFrame, topic_offsets: DataFrame, period: int, delay: str
+    group_offsets: DataFrame,
+    topic_offsets: DataFrame,
+    period: int,
+    delay: str,
+    shares: int = SHARES,
 ) -> DataFrame:
     """Join the two offset streams. Both captures of a poll must lie in the same period:
-    the period is part of the key, which lets the state of old polls go."""
+    the period is part of the key, which lets the state of old polls go. The groups of a
+    partition are dealt into `shares`, each with its own copy of the end offset."""
     tick = lambda column: F.window(column, f"{period} seconds")
     committed = (
         group_offsets.filter(F.col("error").isNull())
@@ -50,7 +71,8 @@ def snapshot_rows(
             "end_offset",
         )
     )
-    return committed.join(ends, ["tick", "snapshot_id", "topic", "partition"])
+    keys = ["tick", "snapshot_id", "topic", "partition", "share"]
+    return _dealt(committed, shares).join(_repeated(ends, shares), keys).drop("share")
 
 
 def streaming_lag(rows: DataFrame) -> DataFrame:
@@ -65,13 +87,18 @@ def streaming_lag(rows: DataFrame) -> DataFrame:
 
 
 def streaming_rates(
-    rows: DataFrame, period: int, delay: str, eta_method: str = "net-rate"
+    rows: DataFrame,
+    period: int,
+    delay: str,
+    eta_method: str = "net-rate",
+    shares: int = SHARES,
 ) -> DataFrame:
     """Rates and ETA of every two neighbouring polls.
 
     Windows two periods long, one period apart: each holds exactly two polls. Partitions
     are matched inside the window first, then summed per group and topic; end offsets are
-    counted once per partition, however many groups read it.
+    counted once per partition, however many groups read it. The groups of a topic are dealt
+    into `shares` before they meet its arrivals.
     """
     pair = F.window("captured_at", f"{2 * period} seconds", f"{period} seconds")
     paired = rows.withWatermark("captured_at", delay).select(
@@ -119,9 +146,10 @@ def streaming_rates(
     consumed = F.col("sum2") - F.col("sum1")
     both = F.coalesce(F.col("seen1") & F.col("seen2"), F.lit(False))
     arrived = F.when(both, F.col("ends2") - F.col("ends1")).otherwise(0)
+    groups = groups.filter("us1 is not null and us2 is not null and us1 <> us2")
     return (
-        groups.filter("us1 is not null and us2 is not null and us1 <> us2")
-        .join(arrivals, ["pair", "topic"])
+        _dealt(groups, shares)
+        .join(_repeated(arrivals, shares), ["pair", "topic", "share"])
         .select(
             F.col("id2").alias("snapshot_id"),
             F.col("id1").alias("prev_snapshot_id"),
