@@ -152,13 +152,14 @@ def page(
     reverse: bool | None = None,
 ) -> DataFrame:
     """Rows offset .. offset+size-1 of the sorted report. An offset beyond the end shows
-    the last row. first_row, last_row, n_rows and percent describe the window.
+    the last row. first_row, last_row, n_rows and percent describe the window. In a report
+    of several snapshots, rows that tie go by snapshot.
 
     The report is sorted once over all tasks and kept; the sizes of the sort ranges tell
     which rows of which range are meant, so a deep page gathers no more than a first one.
     """
     ranged = fixed(
-        rows.orderBy(*sort_columns(key, reverse)).withColumn(
+        rows.orderBy(*sort_columns(key, reverse), "snapshot_id").withColumn(
             "_id", F.monotonically_increasing_id()
         )
     )

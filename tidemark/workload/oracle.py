@@ -1,6 +1,6 @@
 """The registered queries once more, as plain SQL over the test tables (DuckDB dialect)."""
 
-from tidemark.workload.views import HORIZONS, PRESENT
+from tidemark.workload.views import HORIZONS, PRESENT, WIDE
 
 _HORIZON = "case g.group_id " + " ".join(
     f"when '{g}' then {h}" for g, h in HORIZONS.items()
@@ -204,6 +204,10 @@ def _query(select: str, *parts: str) -> str:
     return "with " + ",".join([_BASE, *parts]) + select
 
 
+def _wide(sql: str) -> str:
+    return sql.replace("else user_id end", f"else {WIDE} end")
+
+
 def oracle_sql() -> dict[str, str]:
     full = _analysis()
     every = _analysis("true")
@@ -241,6 +245,10 @@ def oracle_sql() -> dict[str, str]:
     report_columns = "*, group_id as shown_group, topic as shown_topic"
     by_lag = "lag desc, group_id desc, topic desc"
     flat = f"select {key}, "
+    uneven = """
+    uneven as (
+      select cast(k as bigint) as k from (select unnest(generate_series(1, 10000)) as k)
+      where k * k <= (select max(hour_no) from ev))"""
 
     sql = {
         # sources
@@ -284,6 +292,16 @@ def oracle_sql() -> dict[str, str]:
         "s11_committed_offsets": _query(
             "select snapshot_id, group_id, topic, partition, n as committed_offset from commits"
         ),
+        "s10_uneven_polls": _query(
+            "select k as snapshot_id, topic, partition, cast(n as bigint) as end_offset "
+            "from uneven join cum on h = k * k where n > 0",
+            uneven,
+        ),
+        "s11_uneven_polls": _query(
+            "select k as snapshot_id, group_id, topic, partition, n as committed_offset "
+            "from uneven join commits on snapshot_id = k * k // 24",
+            uneven,
+        ),
         # filters and joins
         "f1_f2_group_filter": _query(
             "select distinct snapshot_id, group_id, topic from go",
@@ -477,6 +495,15 @@ def oracle_sql() -> dict[str, str]:
             full,
             _REPORT,
         ),
+        "p3_deep_page": _query(
+            f"""select {key}, lag, first_row, first_row + 39 as last_row, n_rows,
+            least(cast(trunc((first_row + 39) / n_rows * 100) as int), 100) as percent
+            from (select *, row_number() over (order by lag desc, group_id desc, topic desc, snapshot_id) as k,
+                  count(*) over () as n_rows, cast(601 as bigint) as first_row from report)
+            where k between 601 and 640""",
+            full,
+            _REPORT,
+        ),
         "p4_detail_sorted": _query(
             flat + f"partition, lag, row_number() over (partition by {key} "
             "order by lag desc, partition) as position from detail",
@@ -677,6 +704,14 @@ def oracle_sql() -> dict[str, str]:
         full,
     )
     sql["x3_poll_loop"] = sql["r1_report"]
+    sql["l1_lag_stats_wide"] = _wide(
+        _query(
+            f"select {key}, n_parts, lag_min, lag_max, lag_sum, lag_mean, lag_median, par, cv "
+            "from lag_stats",
+            full,
+        )
+    )
+    sql["d1_detail_wide"] = _wide(_query("select * from ranked", full, _DETAIL))
     # The JSON forms hold the same values.
     sql["o1_summary_json"] = sql["r3_summary"]
     sql["o2_status_json"] = sql["r2_status"]

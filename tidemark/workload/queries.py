@@ -23,6 +23,7 @@ from tidemark.sources.tables import LagTables
 from tidemark.streaming import windows
 from tidemark.streaming.loop import SnapshotLoop, append_parquet
 from tidemark.workload.views import (
+    WIDE,
     Views,
     stored_folder,
     stored_snapshot_rows,
@@ -52,6 +53,14 @@ def _on_prepared(options: Options = HIDE_EMPTY):
     return register
 
 
+def _on_wide(query: Callable[[Prepared], DataFrame]):
+    """Over the form of the tables in which one topic has 5,000 partitions."""
+    _registry[query.__name__] = lambda spark, sf_dir: query(
+        prepare(stored_tables(spark, sf_dir, WIDE), HIDE_EMPTY)
+    )
+    return query
+
+
 def _on_views(query: Callable[[Views], DataFrame]):
     _registry[query.__name__] = lambda spark, sf_dir: query(Views(spark, sf_dir))
     return query
@@ -122,6 +131,18 @@ def s11_committed_offsets(v):
     )
 
 
+@_on_views
+def s10_uneven_polls(v):
+    return v.end_offsets(v.uneven_index()).select(*PARTITION_KEY, "end_offset")
+
+
+@_on_views
+def s11_uneven_polls(v):
+    return committed_offsets_from_log(v.commits(), v.uneven_index()).select(
+        *STATS_KEY, "partition", "committed_offset"
+    )
+
+
 # filters and joins
 
 
@@ -180,6 +201,11 @@ def a5_median(p):
     return lag.lag_stats(p).select(*STATS_KEY, "lag_median")
 
 
+@_on_wide
+def l1_lag_stats_wide(p):
+    return lag.lag_stats(p)
+
+
 @_on_prepared()
 def a7_a8_skew(p):
     return lag.lag_stats(p, median=False).select(*STATS_KEY, "par", "cv")
@@ -410,6 +436,13 @@ def p3_page(p):
     )
 
 
+@_on_prepared()
+def p3_deep_page(p):
+    return reports.page(reports.report(p), 600, 40, "lag").select(
+        *STATS_KEY, "lag", "first_row", "last_row", "n_rows", "percent"
+    )
+
+
 @_on_tables
 def p5_sorted_ids(t):
     groups = clean.live_groups(t.groups, ALL_GROUPS).select("snapshot_id", "group_id")
@@ -640,6 +673,11 @@ def d1_partition_detail(t):
     return reports.partition_detail(prepare(t), t.topic_partitions)
 
 
+@_on_wide
+def d1_detail_wide(p):
+    return reports.partition_detail(p).drop("replicas", "isr", "leader")
+
+
 @_on_tables
 def t1_topic_info(t):
     return reports.topic_info(t.topic_partitions)

@@ -19,6 +19,9 @@ from tidemark.sources.tables import LagTables, group_scan
 EPOCH_US = 1704067200000000  # 2024-01-01, the first day of the events
 HOUR_US = 3600000000
 
+# Spread of the records over partitions in the wide form: 5,000 partitions of one topic.
+WIDE = "case when event_type = 'click' then event_id * 7919 % 5000 else user_id % 8 end"
+
 # How far each group has read at snapshot s, in hours since the first day.
 HORIZONS = {
     "g-realtime": "24*s",
@@ -117,6 +120,16 @@ def daily_snapshots(records: DataFrame) -> DataFrame:
     )
 
 
+def uneven_snapshots(records: DataFrame) -> DataFrame:
+    """Polls ever further apart, at the hours 1, 4, 9, 16, ..., and one a year before."""
+    squares = F.sequence(F.lit(0), F.floor(F.sqrt(F.max(_hour()))).cast("int"))
+    polls = records.agg(squares.cast("array<bigint>").alias("k")).select(
+        F.explode("k").alias("snapshot_id")
+    )
+    hour = F.when(F.col("snapshot_id") == 0, -8760).otherwise(F.expr("snapshot_id * snapshot_id"))
+    return polls.withColumn("captured_at", F.timestamp_micros(hour * HOUR_US + EPOCH_US))
+
+
 def commit_log(records: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Every group's commits: at each snapshot, the count of records it has read by then.
     A group starts with offset 0 when a partition appears."""
@@ -217,12 +230,19 @@ class Views:
         self.spark = spark
         self.records = _records(events, spread)
         self.snapshots = daily_snapshots(self.records)
-        self.index = snapshot_index(
-            LagTables(group_offsets=None, topic_offsets=None, snapshots=self.snapshots)
+        self.index = self.index_of(self.snapshots)
+
+    @staticmethod
+    def index_of(snapshots: DataFrame) -> DataFrame:
+        return snapshot_index(
+            LagTables(group_offsets=None, topic_offsets=None, snapshots=snapshots)
         )
 
-    def end_offsets(self) -> DataFrame:
-        return end_offsets_from_log(topic_log(self.records), self.index)
+    def uneven_index(self) -> DataFrame:
+        return self.index_of(uneven_snapshots(self.records))
+
+    def end_offsets(self, index: DataFrame | None = None) -> DataFrame:
+        return end_offsets_from_log(topic_log(self.records), index or self.index)
 
     def commits(self) -> DataFrame:
         return commit_log(self.records, self.snapshots)
