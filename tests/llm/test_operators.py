@@ -336,6 +336,29 @@ def test_resemblance(make_docs, odd, monkeypatch):
     assert [r[0] for r in by_id(kept, "doc_id")] == [1, 4, 5, 8, None]
 
 
+def test_short_texts_are_compared_exactly(make_docs, monkeypatch):
+    """Groups are the components of the pairs that really are 0.8 alike."""
+    r, texts = random.Random(8), {}
+    for family in range(60):
+        w = [f"f{family}w{k}" for k in range(r.randrange(5, 34))]
+        texts[10 * family] = w
+        texts[10 * family + 1] = w + ["more"]
+        texts[10 * family + 2] = w[:-1] + ["other"]
+        texts[10 * family + 3] = w[: len(w) // 2] + ["mid"] + w[len(w) // 2 + 1 :]
+    cut = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in texts.items()}
+    want = {i: i for i in texts}
+    for i in sorted(texts):
+        for j in range(i - i % 10, i):
+            if len(cut[i] & cut[j]) >= 0.8 * len(cut[i] | cut[j]):
+                a, b = sorted((want[i], want[j]))
+                want = {k: a if v == b else v for k, v in want.items()}
+    assert 60 < len(set(want.values())) < len(want)
+    docs = make_docs([(i, " ".join(w)) for i, w in texts.items()])
+    for block in (1 << 13, 2):
+        monkeypatch.setattr(resemblance, "SHARD", block)
+        assert dict(by_id(resemblance.clustered(docs), "doc_id", "component_id")) == want
+
+
 # 5 mixing
 
 

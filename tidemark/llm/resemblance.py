@@ -8,7 +8,9 @@ sketch) the ANCHORS rarest in the corpus name its shards. Two texts that share 8
 shingles share an anchor with a chance of about 99 %. Inside a shard vantage-point trees over
 fingerprints of 256 bits find the pairs; a pair is near if the similarity estimated from its
 differing bits and the two numbers of shingles reaches `least`, which lies below 0.8 by about
-one standard error of the estimate, so that hardly any pair is lost.
+one standard error of the estimate, so that hardly any pair is lost. Few shingles make a poor
+fingerprint, so texts of at most WHOLE shingles carry all of them: two such texts are near if
+their sets really are 0.8 alike, and the estimate only picks the pairs to look at.
 
 A shard with more than SHARD texts is dealt in blocks, and every pair of blocks is a task of
 its own: bounded memory and no lost pair, at a cost that grows with the square of the distinct
@@ -32,19 +34,25 @@ WORDS, LEAST = 5, 0.74
 BITS, PARTS = 256, 4
 ANCHORS_DRAWN, ANCHORS = 8, 4
 SHARD = 1 << 13
+# Texts of so few shingles are compared exactly: those of an estimate of ROUGH or more.
+WHOLE, EXACT, ROUGH = 32, 0.8, 0.6
+# Pairs of such texts whose sets are compared at once.
+PAIRS = 1 << 14
 _SALT = np.uint64(0x632BE59BD9B4E019)
 _SALTS = np.arange(PARTS, dtype=np.uint64) * _SALT
-FIELDS = "f0 long, f1 long, f2 long, f3 long, n int, low array<long>"
+FIELDS = "f0 long, f1 long, f2 long, f3 long, n int, low array<long>, whole array<long>"
 
 
 def sketch_of(text: bytes, words: int) -> tuple:
-    """256 bits over the distinct shingles, their number, and the smallest salted hashes."""
+    """256 bits over the distinct shingles, their number, the smallest salted hashes, and all of
+    them if there are at most WHOLE."""
     hashes = np.unique(shingle_hashes(text, words))
     if not len(hashes):
-        return (0, 0, 0, 0, 0, [])
+        return (0, 0, 0, 0, 0, [], [])
     wide = [majority(mixed(hashes + salt)) for salt in _SALTS]
-    low = np.sort(mixed(hashes ^ _SALT))[:ANCHORS_DRAWN]
-    return (*np.array(wide, np.uint64).view(np.int64).tolist(), len(hashes), low.view(np.int64).tolist())
+    salted = np.sort(mixed(hashes ^ _SALT)).view(np.int64)
+    low, whole = salted[:ANCHORS_DRAWN], salted[: WHOLE if len(salted) <= WHOLE else 0]
+    return (*np.array(wide, np.uint64).view(np.int64).tolist(), len(hashes), low.tolist(), whole.tolist())
 
 
 def sketch(text: Column, words: int = WORDS) -> Column:
@@ -66,16 +74,48 @@ def similarity(differing: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarra
     return common / np.maximum(a + b - common, 1e-9)
 
 
-def linked(wide: np.ndarray, n: np.ndarray, side: np.ndarray, least: float) -> np.ndarray:
+def widest(least: float) -> int:
+    """The largest number of differing bits at which equal sizes still reach `least`."""
+    return int(np.floor(np.arccos(2 * least / (1 + least)) / np.pi * BITS))
+
+
+def alike(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the sets a[i] and b[i] have a Jaccard similarity of EXACT or more; each has at
+    most WHOLE members."""
+    out = np.zeros(len(a), bool)
+    for s in range(0, len(a), PAIRS):
+        one, two = a[s : s + PAIRS], b[s : s + PAIRS]
+        both = [np.concatenate([sets[i], sets[j]]) for i, j in zip(one.tolist(), two.tolist())]
+        size = np.array([len(x) for x in both])
+        value, pair = np.concatenate(both), np.repeat(np.arange(len(both)), size)
+        order = np.lexsort((value, pair))
+        value, pair = value[order], pair[order]
+        twice = (value[1:] == value[:-1]) & (pair[1:] == pair[:-1])
+        common = np.bincount(pair[1:][twice], minlength=len(both))
+        out[s : s + PAIRS] = common >= EXACT * (size - common) - 1e-9
+    return out
+
+
+def linked(
+    wide: np.ndarray, n: np.ndarray, side: np.ndarray, sets: list[np.ndarray], least: float
+) -> np.ndarray:
     """Roots of the sets of near texts in one shard. side: 0 meets all, 1 meets 2 only."""
     forest = Forest(len(n))
     bits = lambda q, p: np.bitwise_count(wide[q] ^ wide[p]).sum(-1, dtype=np.int64)
 
     def near(q: np.ndarray, p: np.ndarray) -> np.ndarray:
-        return similarity(bits(q[:, None], p[None, :]), n[q][:, None], n[p][None, :]) >= least
-
-    # The widest distance at which equal sizes still reach `least`.
-    bound = int(np.floor(np.arccos(2 * least / (1 + least)) / np.pi * BITS))
+        like = similarity(bits(q[:, None], p[None, :]), n[q][:, None], n[p][None, :])
+        found = like >= least
+        if few[q].any() and few[p].any():
+            exact = few[q][:, None] & few[p][None, :]
+            found &= ~exact
+            apart = forest.roots(q)[:, None] != forest.roots(p)[None, :]
+            i, j = np.nonzero(exact & apart & (like >= ROUGH))
+            found[i, j] = alike(sets, q[i], p[j])
+        return found
+
+    few = n <= WHOLE
+    bound = widest(min(least, ROUGH) if few.any() else least)
     spread = lambda q, point: bits(q, np.array([point]))
     queries, points = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)
     search(forest, near, spread, queries, points, bound)
@@ -103,7 +143,7 @@ def shards(texts: DataFrame) -> DataFrame:
         .withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("anchor"), F.lit(4096))).otherwise(
             F.xxhash64("anchor", low, high)
         ))
-        .select("task", "anchor", "node", "f0", "f1", "f2", "f3", "n", "side")
+        .select("task", "anchor", "node", "f0", "f1", "f2", "f3", "n", "whole", "side")
     )
 
 
@@ -115,12 +155,13 @@ def edges(texts: DataFrame, least: float = LEAST) -> DataFrame:
         node, anchor = frame["node"].to_numpy(), frame["anchor"].to_numpy()
         wide = frame[["f0", "f1", "f2", "f3"]].to_numpy().view(np.uint64)
         n, side = frame["n"].to_numpy().astype(float), frame["side"].to_numpy()
+        sets = frame["whole"].to_list()
         cuts = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
         u, v = [], []
         for a, b in zip(cuts, np.append(cuts[1:], len(anchor))):
             if b - a < 2:
                 continue
-            top = linked(wide[a:b], n[a:b], side[a:b], least)
+            top = linked(wide[a:b], n[a:b], side[a:b], sets[a:b], least)
             far = np.flatnonzero(top != np.arange(b - a))
             u.append(node[a + far])
             v.append(node[a + top[far]])
@@ -135,7 +176,7 @@ def clustered(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> Data
     """doc_id, fp and component_id for every row, as simhash.clustered."""
     made = docs.select("doc_id", sketch(docs["text"], words).alias("s"))
     rows = fixed(made.select("doc_id", node_of(F.col("s")).alias("fp"), "s.*"))
-    columns = [F.first(c).alias(c) for c in ("f0", "f1", "f2", "f3", "n", "low")]
+    columns = [F.first(c).alias(c) for c in ("f0", "f1", "f2", "f3", "n", "low", "whole")]
     texts = fixed(rows.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least"), *columns))
     prints = texts.select(F.col("node").alias("fp"), "least")
     return named(rows.select("doc_id", "fp"), prints, edges(texts.drop("least"), least))
