@@ -334,6 +334,8 @@ def test_resemblance(make_docs, odd, monkeypatch):
         assert got == {i: i - i % 10 for i, _ in rows}
     kept = simhash.without_copies(odd, resemblance.clustered(odd), resemblance.print_of())
     assert [r[0] for r in by_id(kept, "doc_id")] == [1, 4, 5, 8, None]
+    none = odd.filter("false")
+    assert simhash.without_copies(none, resemblance.clustered(none), resemblance.print_of()).count() == 0
 
 
 def test_short_texts_are_compared_exactly(make_docs, monkeypatch):
