@@ -361,6 +361,23 @@ def test_short_texts_are_compared_exactly(make_docs, monkeypatch):
         assert dict(by_id(resemblance.clustered(docs), "doc_id", "component_id")) == want
 
 
+def test_long_texts_are_compared_exactly(make_docs):
+    """Pairs below 0.8 stay apart and pairs from 0.8 on are found, however close to it."""
+    docs, want = [], {}
+    for family in range(60):
+        w = [f"f{family}w{k}" for k in range(154)]  # 150 shingles
+        share = (0.7, 0.75, 0.79, 0.8, 0.81, 0.85)[family % 6]
+        fresh = int(150 * (1 - share) / (1 + share)) if share >= 0.8 else -int(-150 * (1 - share) // (1 + share))
+        other = w[:-fresh] + [f"f{family}x{k}" for k in range(fresh)]
+        sets = [{tuple(t[k : k + 5]) for k in range(150)} for t in (w, other)]
+        near = len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+        assert near == (share >= 0.8)
+        docs += [(10 * family, " ".join(w)), (10 * family + 1, " ".join(other))]
+        want |= {10 * family: 10 * family, 10 * family + 1: 10 * family + (not near)}
+    got = dict(by_id(resemblance.clustered(make_docs(docs)), "doc_id", "component_id"))
+    assert got == want
+
+
 # 5 mixing
 
 
