@@ -593,3 +593,57 @@ def test_decontamination(spark, make_docs, odd, monkeypatch):
     assert decontaminate.clean(odd, bench).count() == odd.count()
     assert decontaminate.clean(odd, bench.limit(0)).count() == odd.count()
     assert decontaminate.contaminated(odd.limit(0), bench).count() == 0
+
+
+def accepted_items():
+    """(length of the item, which of its tokens a copy has): all overlaps that count for items
+    of 5 to 18 tokens, and for longer ones the first 13 matches of every segment that can."""
+    rules = decontaminate.Rules()
+    for n in range(5, 19):
+        need = min(rules.least_matched, rules.short_share * n)
+        for k in range(n + 1):
+            for gone in itertools.combinations(range(n), k) if n - k >= need else ():
+                same = np.ones(n, bool)
+                same[list(gone)] = False
+                a, b = decontaminate.best_segment(same)
+                if same[a:b].sum() >= need:
+                    yield n, "".join("01"[x] for x in same.tolist())
+    todo = [("", 0)]
+    while todo:
+        seen, score = todo.pop()
+        if seen.count("1") == rules.least_matched:
+            yield 99, seen
+            continue
+        todo.append((seen + "1", score + 1))
+        if score >= 2:
+            todo.append((seen + "0", score - 2))
+
+
+def test_seeds_hit_whatever_counts():
+    seeds = {}
+    for n, same in accepted_items():
+        seeds.setdefault(n, set()).add(same)
+    assert len(seeds) == 15 and len(seeds[99]) == 3876 and len(seeds[5]) == 3
+    for n, all_same in seeds.items():
+        masks = [m.replace("0", ".") for m in decontaminate.MASKS[min(n, decontaminate.LONGEST)]]
+        found = re.compile("|".join(masks))
+        assert [same for same in all_same if not found.search(same)] == []
+
+
+def test_replaced_tokens_of_short_items(spark, make_docs):
+    items = [(n, prose(700 + n, n, 9999)) for n in range(5, 25)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows, want = [], set()
+    for n, text in items:
+        for trial in range(40):
+            r, w = random.Random(100 * n + trial), text.split()
+            for k in r.sample(range(n), 1 + trial % max(1, n // 5)):
+                w[k] = "other"
+            same = np.array([x != "other" for x in w])
+            a, b = decontaminate.best_segment(same)
+            rows.append((100 * n + trial, f"{prose(n, 9, 99)} {' '.join(w)} {prose(n + 50, 9, 99)}"))
+            if same[a:b].sum() >= min(13, 0.8 * n):
+                want.add((100 * n + trial, n))
+    assert {n for _, n in want} == set(range(5, 25))
+    got = by_id(decontaminate.contaminated(make_docs(rows), bench), "doc_id", "item_id")
+    assert got == sorted(want, key=repr)

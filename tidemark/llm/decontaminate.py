@@ -5,9 +5,10 @@ a window and ignores the others, so a replaced token spoils only the windows tha
 masked windows of the benchmark are hashed; each document's masked windows are looked up among
 them, and every hit names a diagonal (document position minus item position). Along the diagonal
 the best segment is scored (match 1, mismatch -2); an overlap counts if its matches reach
-`least_matched`, or `short_share` of the item if the item is shorter than that. Items shorter
-than a mask have unmasked windows of their own length; items under SHORTEST tokens are not
-looked for.
+`least_matched`, or `short_share` of the item if that is less. The masks are chosen so that with the
+default rules every overlap that counts is hit by one of them, wherever tokens are replaced
+(tests/llm enumerates that); shorter items have lighter and shorter masks. Precision is left to the
+score. Items under SHORTEST tokens are not looked for.
 
 The benchmark is the stated query set. It goes to the executors in blocks of at most
 BLOCK_TOKENS tokens (a longer item is a block of its own), whatever its size; documents are
@@ -26,8 +27,21 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.text import BLANK, WORDS, chunks, mixed, tokenize, utf8
 
-MASKS = ("110110111101", "111011010111", "101111101011")
-SHORTEST = 5
+#: Masks by the length of the items that they are for; the last ones are for all longer items.
+#: Any 13 matches of a segment whose score never falls below 0 hold one of these.
+_LONG = ("1110101001", "110100110001", "110110000101", "11010001011", "1111011", "11110011")
+_BRIEF = ("111111", "1110111", "1101111")
+MASKS = {
+    5: ("1111",),
+    6: ("11111", "110111"),
+    7: _BRIEF,
+    8: _BRIEF,
+    9: _BRIEF,
+    10: ("11010111", "110110011"),
+    11: ("110100111", "1110111"),
+    12: _LONG,
+}
+SHORTEST, LONGEST = min(MASKS), max(MASKS)
 BLOCK_TOKENS = 4_000_000
 _ALNUM = WORDS.copy()
 _ALNUM[[b for b in range(128) if not chr(b).isalnum()]] = BLANK
@@ -69,14 +83,17 @@ def block_of(ids: list, texts: list[bytes]) -> Block:
     found = tokenize([t.lower() for t in texts], _ALNUM)
     start = np.searchsorted(found.text, np.arange(len(texts) + 1))
     size = np.diff(start)
-    masks = [np.flatnonzero([c == "1" for c in m]) for m in MASKS]
-    short = [n for n in np.unique(size) if SHORTEST <= n < len(MASKS[0])]
+    length = np.minimum(size, LONGEST)
+    lengths: dict[str, list[int]] = {}
+    for n in np.unique(length[size >= SHORTEST]).tolist():
+        for mask in MASKS[n]:
+            lengths.setdefault(mask, []).append(n)
     seeds = []
-    for kept, owners in [(m, None) for m in masks] + [(np.arange(n), n) for n in short]:
+    for mask, own in lengths.items():
+        kept = np.flatnonzero([c == "1" for c in mask])
         at, value = windows(found.hash, found.text, kept)
-        if owners is not None:  # only items of this very length
-            own = size[found.text[at]] == owners
-            at, value = at[own], value[own]
+        fit = np.isin(length[found.text[at]], own)
+        at, value = at[fit], value[fit]
         order = np.argsort(value, kind="stable")
         seeds.append((kept, value[order], at[order]))
     return Block(ids, found.hash, found.text, start, seeds)
