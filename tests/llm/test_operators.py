@@ -475,6 +475,23 @@ def test_classifiers_on_documents(spark, odd, module, label):
     assert module.scored(odd, empty, "score").filter("score between 0 and 1").count() == odd.count()
 
 
+def test_toxic_share_is_not_forced(spark, make_docs):
+    """Labels with 40 % toxic texts, a corpus with hardly any, and empty texts."""
+    r = random.Random(4)
+    bad = lambda: f"{prose(r.random(), 20)} vile{r.randrange(3)} vile{r.randrange(3)}"
+    rows = [(i, bad() if i < 80 else prose(i, 22)) for i in range(2000)]
+    rows += [(i, "") for i in range(2000, 2100)]
+    labels = spark.createDataFrame([(i, int(i < 80)) for i in range(200)], "doc_id long, toxic int")
+    docs = make_docs(rows)
+    out = dict(by_id(toxicity.scored(docs, toxicity.fit(docs, labels)), "doc_id", "toxicity"))
+    assert sum(out[i] >= 0.5 for i in range(80)) >= 76
+    assert sum(out[i] >= 0.5 for i in range(80, 2000)) <= 20
+    assert all(out[i] < 0.5 for i in range(2000, 2100))
+    toxic_only = toxicity.fit(docs, labels.filter("toxic = 1"), prior=0.04)  # nothing to calibrate on
+    out = dict(by_id(toxicity.scored(docs, toxic_only), "doc_id", "toxicity"))
+    assert sum(out[i] >= 0.5 for i in range(80)) >= 60 and all(out[i] < 0.5 for i in range(80, 2100))
+
+
 # 7 lines
 
 

@@ -3,8 +3,11 @@
 Only confirmed toxic examples and unlabelled text are learnt from; the share of toxic text
 (the class prior) corrects the risk estimate. Features are hashed words. Those that toxic
 examples have at least `lift` times as often as unlabelled text take part, so that a few
-thousand examples are not learnt by heart. The cut lies where the share of unlabelled text
-beyond it equals the class prior.
+thousand examples are not learnt by heart. Where labels of both kinds exist, the decision is
+calibrated on all labelled documents outside the held-out fold: of the cuts above 0, that with the
+fewest wrong decisions, so that no share of the corpus is forced beyond it. Labels of one kind need
+a given `prior`; then the cut has at most that share of all documents beyond it. Either way a text
+whose words tell nothing scores below 0.5.
 
 Bounds: at most `most_positive` toxic and `most_unlabelled` unlabelled documents train the
 model. Everything is scored, whole texts, without any bound.
@@ -21,6 +24,7 @@ from tidemark.llm.linear import Rows, nonnegative_pu, sums
 from tidemark.llm.text import held_out
 
 BITS = 18
+STEP = 0.01
 
 
 def fit(
@@ -49,7 +53,8 @@ def fit(
     rows = sample(docs, ids, BITS, False, False)
     positive = Rows.of([x for role, x in rows if role == "p"])
     unlabelled = Rows.of([x for role, x in rows if role == "u"])
-    return train(positive, unlabelled, prior, least_share, lift)
+    model = train(positive, unlabelled, prior, least_share, lift)
+    return calibrated(model, docs, known, prior) if model.weights.any() else model
 
 
 def train(
@@ -64,16 +69,45 @@ def train(
     telling &= in_toxic / len(positive) >= lift * in_all / len(unlabelled)
     positive, unlabelled = positive.only(telling), unlabelled.only(telling)
     weights, _ = nonnegative_pu(positive, unlabelled, dims, prior, rate=0.02, epochs=10)
-    found = sums(weights, unlabelled.owner(), unlabelled.index, len(unlabelled))
-    return Model(weights.astype(np.float32), -cut(found, prior), BITS, False, False, False)
+    # The cut of the sample; `fit` replaces it.
+    values, count = np.unique(sums(weights, unlabelled.owner(), unlabelled.index, len(unlabelled)), return_counts=True)
+    return Model(weights.astype(np.float32), -share_cut(values, count, prior), BITS, False, False, False)
 
 
-def cut(found: np.ndarray, prior: float) -> float:
-    """Midway between the two neighbouring values that part the upper `prior` from the rest."""
-    values = np.unique(found)
-    upper = values[values >= np.quantile(found, 1 - prior)].min()
-    lower = values[values < upper]
-    return float((upper + lower.max()) / 2) if len(lower) else float(upper) + 1e-3
+def calibrated(model: Model, docs: DataFrame, known: DataFrame, prior: float) -> Model:
+    """The model with the cut that decides most of the documents of known (doc_id, toxic) right;
+    without two kinds of them, with that of the share `prior` of all documents.
+    The driver sees counts for sums rounded to STEP; sums beyond +-27 count as that."""
+    own = docs.select("doc_id", score(model._replace(bias=0.0), docs["text"]).alias("_p"))
+    p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col("_p")))
+    found = own.withColumn("_z", F.round(F.ln(p / (1 - p)) / STEP).cast("int")).drop("_p")
+    known = known.select("doc_id", F.col("toxic").cast("int").alias("_toxic")).distinct()
+    once = found.join(known, "doc_id").groupBy("doc_id", "_toxic").agg(F.max("_z").alias("_z"))
+    toxic = F.sum(F.when(F.col("_toxic") == 1, 1).otherwise(0))
+    rows = once.groupBy("_z").agg(toxic.alias("toxic"), F.count("*").alias("all")).orderBy("_z").collect()
+    values, ones, every = (np.array([r[c] for r in rows], np.int64) for c in ("_z", "toxic", "all"))
+    if 0 < ones.sum() < every.sum():
+        return model._replace(bias=-cut(values * STEP, 2 * ones - every))
+    rows = found.groupBy("_z").agg(F.count("*").alias("all")).orderBy("_z").collect()
+    values, every = (np.array([r[c] for r in rows], np.int64) for c in ("_z", "all"))
+    return model._replace(bias=-share_cut(values * STEP, every, prior))
+
+
+def cut(values: np.ndarray, gain: np.ndarray) -> float:
+    """The cut above 0, midway between two neighbouring values, with the largest sum of gains
+    from it on, the highest of several; values ascend. Beyond all values if no sum is above 0."""
+    upper = np.append(values, max(values[-1], 0.0) + 2 * STEP) if len(values) else np.array([2 * STEP])
+    lower = np.maximum(np.append(0.0, values), 0.0)
+    total = np.append(np.cumsum(gain[::-1])[::-1], 0)
+    fit = np.flatnonzero(upper > 0)[::-1]
+    best = fit[np.argmax(total[fit])]
+    return float((upper[best] + lower[best]) / 2)
+
+
+def share_cut(values: np.ndarray, count: np.ndarray, share: float) -> float:
+    """The lowest cut above 0 with at most this share of the counts from it on."""
+    beyond = np.cumsum(count[::-1])[::-1] <= share * count.sum()
+    return cut(values, np.where(beyond, 1, -len(values) - 1))
 
 
 def scored(docs: DataFrame, model: Model, out: str = "toxicity") -> DataFrame:
