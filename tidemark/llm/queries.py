@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
     decontaminate,
+    dialogue,
+    ledger,
     lines,
     mixing,
     pii,
     quality,
     repetition,
+    runs,
     shards,
     simhash,
     toxicity,
@@ -19,6 +24,7 @@ from tidemark.llm import (
 )
 from tidemark.llm.oracle import oracle_sql
 from tidemark.llm.text import fixed, held_out
+from tidemark.session import shared_dir
 
 __all__ = ["oracle_sql", "queries"]
 SHARDS = 24
@@ -161,5 +167,91 @@ def op10_ftrl_quality(spark: SparkSession, folder: str) -> DataFrame:
     return _judged(quality.scored(docs.select("doc_id", "text"), model), "quality", 0.3)
 
 
+def op11_blob_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    place = f"{shared_dir(spark)}/ledger-{uuid.uuid4()}"
+    ledger.scan(docs, place)
+    named = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
+    joined = lambda found: F.array_join(F.transform(found, named), ",")
+    kinds = F.transform("secrets", lambda s: s["kind"])
+    number = lambda kind: F.size(F.filter(kinds, lambda k: k == kind)).cast("long")
+    base = F.filter("secrets", lambda s: s["kind"].isin([r.kind for r in ledger.BASE]))
+    return ledger.located(docs, place).select(
+        "doc_id",
+        *[number(r.kind).alias(f"n_{r.kind}") for r in ledger.BASE],
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("secrets")).alias("spans"),
+    )
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) where the words of one document in ten repeat with period p from word
+    a on; those texts are their words joined by one space."""
+    h = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(1))
+    split = F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")
+    planted = h % 10 == 0
+    rows = docs.select("doc_id", "text", h.alias("h"))
+    rows = rows.withColumn("words", F.when(planted, F.filter(split, lambda w: w != "")))
+    rows = rows.withColumn("n", F.size("words")).withColumn("g", F.expr("h div 10"))
+    rows = rows.withColumn("a", F.expr("cast(if(n > 0, g % n, 0) as int)"))
+    rows = rows.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    again = F.expr(
+        "array_join(slice(concat(slice(words, 1, a), flatten(array_repeat("
+        "slice(words, a + 1, p), cast((n - a) div p + 1 as int)))), 1, n), ' ')"
+    )
+    return rows.select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+def op12_kruskal_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = with_planted_runs(table(spark, folder, "documents").select("doc_id", "text"))
+    found = runs.detected(docs).select("doc_id", "periodic.*")
+    first = lambda r: F.struct(r["length"], -r["start"], -r["period"], r["start"], r["period"])
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    digest = F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256)
+    longest = F.array_max(F.transform("runs", first))
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("longest.start").alias("start"),
+        F.col("longest.length").alias("length"),
+        F.col("longest.period").alias("period"),
+        F.expr("1000 * longest.length div longest.period").alias("exponent_milli"),
+        digest.alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Rows (conv_id, turn, role, text) of which some are lost, emptied, cut, repeated or given
+    another role, by a hash of conversation and turn."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fate = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    rows = rows.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), fate.alias("fate"))
+    text = F.when(F.col("fate") == 1, "").when(
+        F.col("fate") == 2, F.regexp_replace("text", "[.!?]", "")
+    ).otherwise(F.col("text"))
+    copies = F.explode(F.array_repeat(F.lit(1), F.when(F.col("fate") == 3, 2).otherwise(1)))
+    return (
+        rows.filter("fate <> 0")
+        .withColumn("text", text)
+        .withColumn("role", F.when(F.col("fate") == 4, "user").otherwise(F.col("role")))
+        .select("conv_id", "turn", "role", "text", copies)
+        .drop("col")
+    )
+
+
+def op13_astar_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    every = rows.select(F.col("conv_id").alias("original")).distinct()
+    found = dialogue.reports(damaged(rows))
+    joined = every.join(found, F.col("original").eqNullSafe(F.col("conv_id")), "left")
+    return joined.select(
+        F.col("original").alias("conv_id"),
+        *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in dialogue.COUNTS],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
