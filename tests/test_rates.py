@@ -209,7 +209,7 @@ def test_legacy_rates(make):
     assert row.remaining_hms == "0:02:11"
 
 
-def history(make, listed):
+def listed_history(make, listed):
     """Eight polls of two partitions; the last one saw no group."""
     times = {i: 10 * i for i in range(1, 10)}
     committed = {i: {"g": {"t": {0: 10 * i, 1: i * i}}} for i in range(1, 9)}
@@ -234,7 +234,7 @@ def history(make, listed):
     ],
 )
 def test_slices_pair_like_histories(make, listed, first, last, options, want):
-    p = prepare(history(make, listed).between(first, last), options)
+    p = prepare(listed_history(make, listed).between(first, last), options)
     assert [r[0] for r in rows(rates(p), "snapshot_id")] == want
     detail = rows(partition_history(p).select("snapshot_id").distinct(), "snapshot_id")
     assert [r[0] for r in detail] == want
@@ -243,16 +243,16 @@ def test_slices_pair_like_histories(make, listed, first, last, options, want):
 
 @pytest.mark.parametrize("listed", [True, False])
 def test_latest_pair_counts_polls_without_groups(make, listed):
-    p = prepare(history(make, listed).latest_pair())
+    p = prepare(listed_history(make, listed).latest_pair())
     assert rows(rates(p), "snapshot_id") == []
     assert rows(partition_history(p), "snapshot_id") == []
-    full = prepare(history(make, listed).between(1, 8).latest_pair())
+    full = prepare(listed_history(make, listed).between(1, 8).latest_pair())
     assert rows(rates(full), "snapshot_id") == [(8,)]
     assert {r[1] for r in rows(partition_history(full), "snapshot_id", "rate")} == {1.0, 1.5}
 
 
 def test_poll_missing_from_the_list_is_an_error(make):
-    tables = history(make, True)
+    tables = listed_history(make, True)
     short = replace(tables, snapshots=tables.snapshots.filter("snapshot_id <> 3"))
     with pytest.raises(Exception, match="poll 3 is not in the list"):
         rates(prepare(short)).collect()
