@@ -3,7 +3,8 @@
 A snapshot row is one partition of one group at one poll: snapshot_id, captured_at,
 group_id, topic, partition, committed_offset (NULL or negative = none), end_offset. Polls
 come every `period` seconds, at multiples of it. Results appear once the watermark has
-passed their window, so one poll behind; rows later than `delay` are dropped.
+passed their window: with the next poll, or with a closing row (see `closed`) in the same source;
+rows later than `delay` are dropped.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import hms
 from tidemark.operators.lag import stat_columns, with_shape
 from tidemark.operators.rates import eta_seconds
-
+from tidemark.streaming.closed import data_rows
 
 # Shares that the groups of one topic are dealt into before a join with what the topic has
-# once: streaming joins are not split at run time. It is part of the state's layout, so a
+# once: streaming joins are not split at run time. Every share keeps a copy of the topic's side,
+# so ask for more where one topic has very many groups. It is part of the state's layout: a
 # running stream keeps the number it started with.
-SHARES = 8
+SHARES = 1
 
 
 def _dealt(rows: DataFrame, shares: int) -> DataFrame:
@@ -54,15 +56,17 @@ def snapshot_rows(
     partition are dealt into `shares`, each with its own copy of the end offset."""
     tick = lambda column: F.window(column, f"{period} seconds")
     committed = (
-        group_offsets.filter(F.col("error").isNull())
-        .withWatermark("captured_at", delay)
+        data_rows(group_offsets.filter(F.col("error").isNull()).withWatermark("captured_at", delay))
         .select("*", tick("captured_at").alias("tick"))
         .drop("error")
     )
     ends = (
-        topic_offsets.filter(F.col("error").isNull())
-        .withColumnRenamed("captured_at", "end_captured_at")
-        .withWatermark("end_captured_at", delay)
+        data_rows(
+            topic_offsets.filter(F.col("error").isNull())
+            .withColumnRenamed("captured_at", "end_captured_at")
+            .withWatermark("end_captured_at", delay),
+            "end_captured_at",
+        )
         .select(
             tick("end_captured_at").alias("tick"),
             "snapshot_id",
@@ -101,7 +105,7 @@ def streaming_rates(
     into `shares` before they meet its arrivals.
     """
     pair = F.window("captured_at", f"{2 * period} seconds", f"{period} seconds")
-    paired = rows.withWatermark("captured_at", delay).select(
+    paired = data_rows(rows.withWatermark("captured_at", delay)).select(
         "*", pair.alias("pair"), _offset().alias("offset"), _lag().alias("lag")
     )
     late = F.col("captured_at") >= F.col("pair.start") + F.expr(f"interval {period} seconds")

@@ -692,17 +692,22 @@ def oracle_sql() -> dict[str, str]:
           and s.topic = b.topic""",
         legacy,
     )
-    closed = "snapshot_id < (select max(snapshot_id) from snaps)"
     sql["x1_streaming_lag"] = _query(
-        f"select {key}, n_parts, lag_min, lag_max, lag_sum, par, cv from lag_stats where {closed}",
-        full,
+        f"select {key}, n_parts, lag_min, lag_max, lag_sum, lag_median, par, cv from lag_stats", full
     )
-    sql["x2_streaming_rates"] = _query(
-        f"""select snapshot_id, prev_snapshot_id, group_id, topic,
-        {_DAY} as time_delta, events_consumed, cons as consumption_rate,
-        arr as arrival_rate, lag_sum, remaining_sec, remaining_hms from rates where {closed}""",
-        full,
+    paired = f"""snapshot_id, prev_snapshot_id, group_id, topic, {_DAY} as time_delta, events_consumed,
+        cons as consumption_rate, arr as arrival_rate, lag_sum, remaining_sec"""
+    sql["x2_streaming_rates"] = _query(f"select {paired}, remaining_hms from rates", full)
+    sql["x4_end_offsets_from_stream"] = sql["s10_end_offsets"]
+    sql["x5_committed_from_stream"] = sql["s11_committed_offsets"]
+    usual = _query(
+        f"select {paired} from rates where snapshot_id <= 25 and snapshot_id not between 10 and 19", full
+    )
+    changed = _query(
+        f"select {paired} from rates where snapshot_id between 10 and 19",
+        _analysis("group_id <> 'g-empty' and group_id not like 'g-s%'", "simple"),
     )
+    sql["x6_changed_filter"] = f"select * from ({usual}) union all select * from ({changed})"
     sql["x3_poll_loop"] = sql["r1_report"]
     sql["l1_lag_stats_wide"] = _wide(
         _query(

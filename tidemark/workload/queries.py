@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +22,14 @@ from tidemark.sources import tables as scans
 from tidemark.sources.logs import committed_offsets_from_log
 from tidemark.sources.tables import LagTables
 from tidemark.streaming import windows
+from tidemark.streaming.closed import ClosedPolls, Control, Folders, closed_polls
+from tidemark.streaming.logs import OffsetsAtPolls, committed_points, end_offset_points
 from tidemark.streaming.loop import SnapshotLoop, append_parquet
 from tidemark.workload.views import (
     WIDE,
     Views,
     stored_folder,
-    stored_snapshot_rows,
+    stored_stream,
     stored_tables,
 )
 
@@ -36,6 +39,7 @@ _registry: dict[str, Query] = {}
 HIDE_EMPTY = Options()
 ALL_GROUPS = Options(show_empty=True)
 PARTIAL = Options(include="partial", show_empty=True)
+EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
 
 def _on_tables(query: Callable[[LagTables], DataFrame]):
@@ -711,7 +715,7 @@ def k1_consumption_legacy(p):
     return rates.group_rates(p).select(*STATS_KEY, "events_consumed", "lag_sum")
 
 
-# streams, run to their end; the last poll stays open until a later one arrives
+# streams, run to their end: one file per poll, several micro-batches, a closing row at the end
 
 DAY = 86400
 
@@ -720,45 +724,87 @@ def _fresh(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/stream-{uuid.uuid4()}"
 
 
+def _cores(spark: SparkSession) -> int:
+    return spark.sparkContext.defaultParallelism
+
+
 def _finished(result: DataFrame) -> DataFrame:
     spark, folder = result.sparkSession, _fresh(result.sparkSession)
-    cores = spark.sparkContext.defaultParallelism
-    append_parquet(result, folder, state_partitions=cores).awaitTermination()
+    append_parquet(result, folder, state_partitions=_cores(spark)).awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 
 
-def x1_streaming_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = stored_folder(spark, sf_dir)
-    offsets = [
-        scans.stream_table(spark, name, f"{folder}/{name}")
-        for name in ("group_offsets", "topic_offsets")
-    ]
-    rows = windows.snapshot_rows(*offsets, DAY, "0 seconds")
-    visible = scans.read_table(spark, "groups", f"{folder}/groups").filter(clean.is_live())
-    rows = rows.join(visible, ["snapshot_id", "group_id"], "left_semi")
-    return _finished(windows.streaming_lag(rows)).drop("lag_mean")
+def _closed_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    streams = [stored_stream(spark, sf_dir, n) for n in ("group_offsets", "topic_offsets")]
+    return closed_polls(*streams, DAY, "0 seconds")
 
 
-def _row_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = stored_snapshot_rows(spark, sf_dir)
-    return spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+def _run(sink: Folders, rows: DataFrame) -> DataFrame:
+    sink.run(rows, _cores(rows.sparkSession)).awaitTermination()
+    return sink.results(rows.sparkSession)
+
+
+def x1_streaming_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = stored_tables(spark, sf_dir).groups
+    sink = ClosedPolls(lambda t, o: lag.lag_stats(prepare(t, o)), _fresh(spark), groups=groups)
+    return _run(sink, _closed_polls(spark, sf_dir)).drop("lag_mean")
 
 
 def x2_streaming_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _row_stream(spark, sf_dir).filter(clean.is_live())
+    rows = stored_stream(spark, sf_dir, "snapshot_rows")
+    # Closing rows have no state.
+    rows = rows.filter(clean.is_live() | F.col("snapshot_id").isNull())
     return _finished(windows.streaming_rates(rows, DAY, "0 seconds"))
 
 
 def x3_poll_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch report of every pair, fed by a stream through foreachBatch."""
     loop = SnapshotLoop(lambda t: reports.report(prepare(t)), _fresh(spark))
-    query = loop.run(_row_stream(spark, sf_dir))
+    rows = stored_stream(spark, sf_dir, "snapshot_rows").filter("snapshot_id is not null")
+    query = loop.run(rows)
     query.awaitTermination()
     loop.finish(spark, query.lastProgress["batchId"])
     return loop.results(spark)
 
 
-for _query in (x1_streaming_lag, x2_streaming_rates, x3_poll_loop):
+def x4_end_offsets_from_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = end_offset_points(stored_stream(spark, sf_dir, "topic_log"), DAY, "0 seconds")
+    ends = _run(OffsetsAtPolls(_fresh(spark)), points)
+    return ends.select(*PARTITION_KEY, "end_offset")
+
+
+def x5_committed_from_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = committed_points(stored_stream(spark, sf_dir, "commit_log"), DAY, "0 seconds")
+    rows = _run(OffsetsAtPolls(_fresh(spark), committed=True), points)
+    return rows.select(*STATS_KEY, "partition", "committed_offset")
+
+
+def x6_changed_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of a stream whose options change on the way: from the 10th poll on without the groups
+    g-s..., with simple ETAs; from the 20th on as at first. It stops after 25 polls."""
+    control = Control(f"{_fresh(spark)}/control")
+    control.change(spark, EPOCH + timedelta(days=10), Options(exclude="^g-s", eta_method="simple"))
+    control.change(spark, EPOCH + timedelta(days=20), Options())
+    sink = ClosedPolls(
+        lambda t, o: rates.rates(prepare(t, o)), _fresh(spark), pairs=True, polls=25, control=control,
+        groups=stored_tables(spark, sf_dir).groups,
+    )
+    query = sink.run(_closed_polls(spark, sf_dir), _cores(spark), processingTime="0 seconds")
+    sink.until_done(query)
+    return sink.results(spark).select(
+        "snapshot_id", "prev_snapshot_id", "group_id", "topic", "time_delta", "events_consumed",
+        "consumption_rate", "arrival_rate", "lag_sum", "remaining_sec",
+    )
+
+
+for _query in (
+    x1_streaming_lag,
+    x2_streaming_rates,
+    x3_poll_loop,
+    x4_end_offsets_from_stream,
+    x5_committed_from_stream,
+    x6_changed_filter,
+):
     _registry[_query.__name__] = _query
 
 

@@ -10,11 +10,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark.session import shared_dir
 from tidemark.sources.logs import committed_offsets_from_log, end_offsets_from_log
 from tidemark.sources.snapshots import snapshot_index
 from tidemark.sources.tables import LagTables, group_scan
+from tidemark.streaming.closed import closing_row
 
 EPOCH_US = 1704067200000000  # 2024-01-01, the first day of the events
 HOUR_US = 3600000000
@@ -322,23 +324,68 @@ def stored_folder(spark: SparkSession, sf_dir: str) -> str:
     return _stored[(spark.sparkContext.applicationId, sf_dir, "user_id")]
 
 
+# Polls (one file each) that a replayed stream takes in one micro-batch.
+POLLS_A_BATCH = 8
 _written: set[str] = set()
 
 
-def stored_snapshot_rows(spark: SparkSession, sf_dir: str) -> str:
-    """Input of the streaming queries: committed and end offset and the group's state in one
-    row."""
+def _snapshot_rows(tables: LagTables) -> DataFrame:
+    """Committed and end offset and the group's state in one row."""
+    ends = tables.topic_offsets.filter("error is null").select(
+        "snapshot_id", "topic", "partition", "end_offset"
+    )
+    states = group_scan(tables.groups).select(
+        "snapshot_id", "group_id", "raw_state", "member_count", "describe_failed"
+    )
+    rows = tables.group_offsets.filter("error is null").drop("error")
+    rows = rows.join(states, ["snapshot_id", "group_id"])
+    return rows.join(ends, ["snapshot_id", "topic", "partition"], "left")
+
+
+def _marked(log: DataFrame, time: str, snapshots: DataFrame) -> DataFrame:
+    """A log with a mark for every poll: no topic, the poll's time, its id as offset."""
+    given = {time: F.col("captured_at"), "offset": F.col("snapshot_id")}
+    blank = [given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in log.schema]
+    return log.unionByName(snapshots.select(*blank))
+
+
+def stored_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A stream of one of the tables as a poller leaves it: files in the order of the polls, and a
+    closing row behind the last one."""
+    folder = f"{stored_folder(spark, sf_dir)}/stream-{name}"
     tables = stored_tables(spark, sf_dir)
-    folder = f"{stored_folder(spark, sf_dir)}/snapshot_rows"
+    polls, time = tables.snapshots, "captured_at"
+    if name == "topic_log":
+        views, time = Views(spark, sf_dir), "timestamp"
+        rows = _marked(topic_log(views.records), time, polls)
+    elif name == "commit_log":
+        views, time = Views(spark, sf_dir), "commit_ts"
+        rows = _marked(commit_log(views.records, tables.snapshots), time, polls)
+    elif name == "snapshot_rows":
+        rows = _snapshot_rows(tables)
+    else:
+        rows = getattr(tables, name)
     if folder not in _written:
-        ends = tables.topic_offsets.filter("error is null").select(
-            "snapshot_id", "topic", "partition", "end_offset"
-        )
-        states = group_scan(tables.groups).select(
-            "snapshot_id", "group_id", "raw_state", "member_count", "describe_failed"
-        )
-        rows = tables.group_offsets.filter("error is null").drop("error")
-        rows = rows.join(states, ["snapshot_id", "group_id"])
-        rows.join(ends, ["snapshot_id", "topic", "partition"], "left").write.parquet(folder)
+        first, last, n = polls.agg(F.min("captured_at"), F.max("captured_at"), F.count("*")).first()
+        period = (last - first) / max(1, n - 1)
+        closing = closing_row(spark, rows.schema, F.lit(last + 2 * period), time)
+        hours = F.expr(f"(unix_micros({time}) - {EPOCH_US} + {24 * HOUR_US - 1}) div {24 * HOUR_US}")
+        arrived = F.greatest(hours, F.lit(1)).cast("int")
+        sent = rows.unionByName(closing).withColumn("arrived", arrived)
+        sent.hint("rebalance", "arrived").write.partitionBy("arrived").parquet(folder)
+        _dated_by_poll(spark, folder)
         _written.add(folder)
-    return folder
+    schema = StructType([*rows.schema.fields, StructField("arrived", IntegerType())])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", POLLS_A_BATCH)
+    return stream.parquet(folder).drop("arrived")
+
+
+def _dated_by_poll(spark: SparkSession, folder: str) -> None:
+    """Files were written at once; a stream reads them by their times, so give them the order in
+    which they would have come. The driver sees the names of the files of the polls."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/arrived=*")):
+        number = int(part.getPath().getName().split("=")[1])
+        for file in files.listStatus(part.getPath()):
+            files.setTimes(file.getPath(), 1_700_000_000_000 + 1000 * number, -1)
