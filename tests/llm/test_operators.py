@@ -288,10 +288,6 @@ def test_simhash_components(make_docs, odd, monkeypatch):
     signed = lambda p: p - (1 << 64) if p >> 63 else p
     expected = [(i, signed(p), c) for (i, _), p, c in zip(rows, prints, want)]
     assert got == sorted(expected, key=repr)
-    kept = simhash.without_copies(docs, simhash.clustered(docs), simhash.fingerprint)
-    assert sorted(r[0] for r in by_id(kept, "doc_id")) == sorted(set(want))
-    some = by_id(simhash.without_copies(odd, simhash.clustered(odd), simhash.fingerprint), "doc_id", "text")
-    assert [r[0] for r in some] == [1, 4, 5, 8, None]
     assert simhash.clustered(odd.limit(0)).count() == 0
 
 
@@ -332,10 +328,22 @@ def test_resemblance(make_docs, odd, monkeypatch):
         monkeypatch.setattr(resemblance, "SHARD", block)
         got = dict(by_id(resemblance.clustered(make_docs(rows)), "doc_id", "component_id"))
         assert got == {i: i - i % 10 for i, _ in rows}
-    kept = simhash.without_copies(odd, resemblance.clustered(odd), resemblance.print_of())
-    assert [r[0] for r in by_id(kept, "doc_id")] == [1, 4, 5, 8, None]
-    none = odd.filter("false")
-    assert simhash.without_copies(none, resemblance.clustered(none), resemblance.print_of()).count() == 0
+    kept = resemblance.without_copies(odd)
+    assert [r[0] for r in by_id(kept, "doc_id")] == [1, 4, 5, 8, None] and kept.columns == odd.columns
+    assert resemblance.without_copies(odd.filter("false")).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_copies_go_by_their_own_text(make_docs, monkeypatch, broadcast):
+    """Rows that share an id, or have none, stay or go each by itself; of equal rows one stays."""
+    if not broadcast:
+        monkeypatch.setattr(resemblance, "MOST_BROADCAST", -1)
+    a, b, c, d, e = (prose(i, 60, 9999) for i in range(50, 55))
+    rows = [(0, a), (1, a), (1, b), (1, b), (2, c), (None, c.upper()), (None, d), (None, d), (None, d + " x"), (None, e)]
+    kept = by_id(resemblance.without_copies(make_docs(rows)), "doc_id", "text")
+    sets = [t for _, t in kept]
+    assert kept[:3] == sorted([(0, a), (1, b), (2, c)], key=repr)
+    assert len(kept) == 5 and e in sets and len({d, d + " x"} & set(sets)) == 1
 
 
 def test_short_texts_are_compared_exactly(make_docs, monkeypatch):
@@ -418,17 +426,43 @@ def test_mix(make_docs, odd):
     for order in orders.values():
         order.sort()
         assert [b for _, b, _ in order] == list(itertools.accumulate([0] + [n for *_, n in order[:-1]]))
-    mix = mixing.mixed_documents(docs, sized, goals)
+    mix = mixing.mixed_documents(docs, mixing.places(docs), goals)
     assert mix.columns == docs.columns
     got = Counter()
     for r in mix.collect():
         got[r.source] += len(words(r.text))
     assert all(abs(got[s] - want[s]) <= 20 for s in want)
     assert mixing.mixed(mixing.sized(odd), mixing.targets(mixing.sized(odd))).count() == odd.count()
+    places = mixing.places(odd)
+    assert mixing.mixed_documents(odd, places, mixing.targets(places)).count() > 0
+    places = mixing.places(odd.limit(0))
+    assert mixing.mixed_documents(odd.limit(0), places, mixing.targets(places)).count() == 0
     none = mixing.sized(odd.limit(0))
     assert mixing.mixed(none, mixing.targets(none)).count() == 0
 
 
+@pytest.mark.parametrize("same", ["nothing", "ids", "rows"])
+def test_mix_of_rows_that_share_an_id_or_have_none(make_docs, same):
+    """No source misses its target by more than one document, whatever rows have in common."""
+    text = lambda i: "w " * 20 if same == "rows" else prose(i, 20)
+    rows = [(None if same == "nothing" or i % 2 else 7, text(i), "a" if i % 3 else "b") for i in range(900)]
+    rows += [(i, prose(i, 30), "c") for i in range(50)]
+    docs = make_docs(rows)
+    places = mixing.places(docs)
+    goals = {r.source: r.target for r in mixing.targets(places).collect()}
+    got = [Counter(), Counter()]
+    for k in (0, 1):  # reruns agree
+        mix = mixing.mixed_documents(docs, places, mixing.targets(places)).collect()
+        for r in mix:
+            got[k][r.source, r.text] += 1
+    assert got[0] == got[1]
+    for source, goal in goals.items():
+        taken = sum(n * len(words(t)) for (s, t), n in got[0].items() if s == source)
+        assert abs(taken - goal) <= 30, source
+    given = Counter((r[2], r[1]) for r in rows)
+    assert all(n <= 2 * given[k] for k, n in got[0].items())
+
+
 # 6 and 10 classifiers
 
 

@@ -7,7 +7,8 @@ size repeats the source. The order is cut into key ranges first: sums per range
 is spread over all tasks.
 
 Sizes are words; null text has none. A null source is a source of its own, the last one. Rows
-with one id are ordered by size, and equal rows may swap their shares. Reruns agree.
+with one id are ordered by size, and equal rows may swap their shares. Whole documents
+(`mixed_documents`) are ordered by id and text. Reruns agree.
 """
 
 from __future__ import annotations
@@ -122,29 +123,72 @@ def mixed(rows: DataFrame, goals: DataFrame) -> DataFrame:
     return joined.withColumn("taken", F.col("epochs") * F.col("size") + last)
 
 
+def document_key(doc_id: Column, text: Column, seed: str = "mix") -> Column:
+    """Hash-random key of a document by its id and text: rows without an id, or with one id, have
+    keys of their own unless their texts are equal too."""
+    named = F.coalesce(doc_id.cast("string"), F.lit(""))
+    of = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), named, of)), 1, KEY_BITS // 4), 16, 10).cast("long")
+
+
+def places(docs: DataFrame) -> DataFrame:
+    """source, key, unit (words of one row), n (rows) and size (words of all), computed once. Rows
+    of one key and size are one place, so that copies of a text make no hot key."""
+    keyed = docs.select(
+        "source", document_key(docs["doc_id"], docs["text"]).alias("key"), word_count(docs["text"]).alias("unit")
+    )
+    counted = keyed.groupBy("source", "key", "unit").agg(F.count("*").alias("n"))
+    return fixed(counted.withColumn("size", F.col("n") * F.col("unit")).withColumn("doc_id", F.lit(None).cast("long")))
+
+
 def mixed_documents(docs: DataFrame, rows: DataFrame, goals: DataFrame) -> DataFrame:
-    """The documents of the mix, whole: each once for every epoch that takes it. In the last
-    epoch the document at the cut is in if at least half of it is within the budget.
+    """The documents of the mix, whole: each once for every epoch that takes it; rows are those of
+    `places`. In the last epoch the row at the cut is in if at least half of it is within the
+    budget, so a source misses its target by half a document at most.
 
-    The cut is a place (key, id) in the source's order, so documents are decided where they
-    are, with one row a source; texts are not shuffled.
+    Rows below the cut are decided where they are, with one row a source; texts are not
+    shuffled. Only where the cut falls among rows of one id and text are these counted, by all
+    their columns, and as many of them taken as fit.
     """
-    shares = mixed(rows, goals)
-    part = F.col("taken") - F.col("epochs") * F.col("size")
-    inside = (F.col("before") < F.col("rest")) & (2 * part >= F.col("size"))
-    place = F.struct(F.col("key"), F.coalesce(F.col("doc_id"), F.lit(-(2**63))))
-    cuts = shares.groupBy(F.col("source").alias("_mix_source")).agg(
-        F.first("epochs").alias("_mix_epochs"), F.max(F.when(inside, place)).alias("_mix_cut")
+    goals = with_budget(goals).withColumnRenamed("source", "of")
+    prefix = with_before(rows, range_bits(rows.count()))
+    joined = prefix.join(broadcast_if_small(goals, MOST_BROADCAST), F.col("source").eqNullSafe(F.col("of")))
+    part = F.greatest(F.lit(0), F.least(F.col("rest") - F.col("before"), F.col("size")))
+    fit = F.when(F.col("unit") > 0, F.expr("(2 * part + unit) div (2 * unit)")).otherwise(
+        F.when(F.col("before") < F.col("rest"), F.col("n")).otherwise(0)
+    )
+    place = F.struct("key", "unit")
+    cuts = (
+        joined.withColumn("part", part).withColumn("fit", fit)
+        .groupBy(F.col("source").alias("_mix_source"))
+        .agg(
+            F.first("epochs").alias("_mix_epochs"),
+            F.max(F.when(F.col("fit") == F.col("n"), place)).alias("_mix_cut"),
+            # Whole places lie before the cut, so at most one is taken in part.
+            F.max(F.when((F.col("fit") > 0) & (F.col("fit") < F.col("n")), F.struct(place.alias("place"), "fit"))).alias("_mix_tie"),
+        )
     )
-    small = broadcast_if_small(fixed(cuts), MOST_BROADCAST)
+    cuts = fixed(cuts)
+    small = broadcast_if_small(cuts, MOST_BROADCAST)
     key = F.struct(
-        random_key(docs["doc_id"]).alias("key"),
-        F.coalesce(docs["doc_id"], F.lit(-(2**63))).alias("col2"),
+        document_key(docs["doc_id"], docs["text"]).alias("key"), word_count(docs["text"]).alias("unit")
     )
-    joined = docs.join(small, docs["source"].eqNullSafe(small["_mix_source"]))
-    once_more = F.coalesce((key <= F.col("_mix_cut")).cast("int"), F.lit(0))
-    times = F.col("_mix_epochs").cast("int") + once_more
-    copies = joined.withColumn("_mix_times", times).filter("_mix_times > 0")
-    return copies.withColumn("_mix_time", F.explode(F.expr("sequence(1, _mix_times)"))).select(
-        *(docs[c] for c in docs.columns)
+    joined = docs.join(small, docs["source"].eqNullSafe(small["_mix_source"])).withColumn("_mix_place", key)
+    tied = F.coalesce(F.col("_mix_place") == F.col("_mix_tie.place"), F.lit(False))
+    once_more = F.coalesce((F.col("_mix_place") <= F.col("_mix_cut")).cast("long"), F.lit(0))
+    taken = _repeated(joined.filter(~tied), F.col("_mix_epochs") + once_more, docs.columns)
+    if cuts.filter("_mix_tie is not null").isEmpty():
+        return taken
+    variants = joined.filter(tied).groupBy(*docs.columns, "_mix_epochs", "_mix_tie").agg(F.count("*").alias("_mix_n"))
+    before = (
+        Window.partitionBy("source").orderBy(F.xxhash64(*docs.columns))
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
+    earlier = F.coalesce(F.sum("_mix_n").over(before), F.lit(0))
+    rest = F.greatest(F.lit(0), F.least(F.col("_mix_tie.fit") - earlier, F.col("_mix_n")))
+    return taken.union(_repeated(variants, F.col("_mix_epochs") * F.col("_mix_n") + rest, docs.columns))
+
+
+def _repeated(rows: DataFrame, times: Column, columns: list[str]) -> DataFrame:
+    copies = rows.withColumn("_mix_times", times.cast("int")).filter("_mix_times > 0")
+    return copies.withColumn("_mix_time", F.explode(F.expr("sequence(1, _mix_times)"))).select(*columns)

@@ -125,28 +125,28 @@ _SECRETS = (
     ("assign", 1, rf"""({_NAMES})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     ("access", 2, "AKIA[A-Z0-9]+", 0, 20),
     ("hex", 3, "[0-9a-f]+", 0, 24),
-    ("github", 4, "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
-    ("slack", 5, "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
-    ("private_key", 6, "-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----", 0, 0),
-    ("jwt", 7, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 0),
-    ("url_password", 8, r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._~-]+:[^\s:@/]{3,}@", 0, 0),
+    ("github", 4, "gh[pousr]_[A-Za-z0-9]{36,}", 0, 36),
+    ("slack", 5, "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 10),
+    ("private_key", 6, "-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----", 0, 20),
+    ("jwt", 7, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 20),
+    ("url_password", 8, r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._~-]+:[^\s:@/]{3,}@", 0, 5),
 )
 _MATCHED = " union all ".join(
-    f"""select r, '{kind}' as kind, {place} as place, {least} as least,
-        string_split_regex(text, '{pattern}') as gap, regexp_extract_all(text, '{pattern}', 0) as size,
-        regexp_extract_all(text, '{pattern}', {part}) as part
-        from d where regexp_matches(text, '{pattern}')"""
+    f"""select r, '{kind}' as kind, {place} as place, {least} as least, unnest(range(1, len(size) + 1)) as i,
+        unnest(gap[:-2]) as gap, unnest(size) as size, unnest(part) as part
+        from (select r, list_transform(string_split_regex(text, '{pattern}'), lambda x: length(x)) as gap,
+                     list_transform(regexp_extract_all(text, '{pattern}', 0), lambda x: length(x)) as size,
+                     list_transform(regexp_extract_all(text, '{pattern}', {part}), lambda x: length(x)) as part
+              from d where len(list_filter(regexp_extract_all(text, '{pattern}', {part}), lambda x: length(x) >= {least})) > 0)"""
     for kind, place, pattern, part, least in _SECRETS
 )
 #: Matches and the gaps between them, in order: a match ends where the lengths so far end.
 OP11 = f"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
-m as (select *, unnest(range(1, len(size) + 1)) as i from ({_MATCHED})),
-p as (select *, sum(length(gap[i]) + length(size[i])) over (partition by r, kind order by i) as stop
-      from m),
-f as (select r, kind, place, stop - length(size[i]) as start,
-             kind || ':' || (stop - length(size[i]))::bigint || ':' || stop::bigint as span
-      from p where length(part[i]) >= least),
+p as (select *, sum(gap + size) over (partition by r, kind order by i) as stop from ({_MATCHED})),
+f as (select r, kind, place, stop - size as start,
+             kind || ':' || (stop - size)::bigint || ':' || stop::bigint as span
+      from p where part >= least),
 g as (select r, count(*) filter (kind = 'assign') as n_assign,
              count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
              string_agg(span, ',' order by start, place) filter (place <= 3) as base,

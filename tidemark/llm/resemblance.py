@@ -40,6 +40,8 @@ ANCHORS_DRAWN, ANCHORS = 16, 8
 # Texts of a block: with sketches, and with whole texts.
 SHARD, SETS = 1 << 13, 1 << 11
 TASKS = 1 << 12
+# Pairs of fingerprints compared at once: some 100 bytes each.
+PAIRS = 1 << 17
 _SALT = np.uint64(0x632BE59BD9B4E019)
 _SALTS = np.arange(PARTS, dtype=np.uint64) * _SALT
 FIELDS = "node long, f0 long, f1 long, f2 long, f3 long, n int, low array<long>"
@@ -101,7 +103,7 @@ def linked(wide: np.ndarray, n: np.ndarray, side: np.ndarray) -> np.ndarray:
 
     spread = lambda q, point: bits(q, np.array([point]))
     queries, points = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)
-    search(forest, near, spread, queries, points, widest(ROUGH))
+    search(forest, near, spread, queries, points, widest(ROUGH), PAIRS)
     return forest.roots(np.arange(len(n)))
 
 
@@ -225,5 +227,37 @@ def clustered(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> Data
     return named(rows.select("doc_id", "fp"), prints, found)
 
 
-def print_of():
-    return node_of
+def without_copies(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """One row of each group of near copies: that with the smallest id, then the smallest hash of
+    its text; a row without an id only where its group has none with one.
+
+    Rows are told apart by id and text, so a row stays or goes by its own text, whatever other
+    rows share its id. Of rows equal in both, one stays.
+    """
+    text_key = F.xxhash64(docs["text"])
+    made = docs.select("doc_id", text_key.alias("text_key"), sketch(docs["text"], words).alias("s"))
+    rows = fixed(made.select("doc_id", "text_key", "s.*").withColumnRenamed("node", "fp"))
+    columns = [F.first(c).alias(c) for c in ("f0", "f1", "f2", "f3", "n", "low")]
+    texts = fixed(rows.groupBy(F.col("fp").alias("node")).agg(*columns))
+    roots = components(edges(docs, candidates(texts), words, least))
+    members = rows.select("doc_id", "text_key", "fp").join(roots, F.col("fp") == F.col("node"), "left")
+    counted = fixed(
+        members.groupBy(F.coalesce("root", "fp").alias("root"), "doc_id", "text_key").agg(F.count("*").alias("n"))
+    )
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))
+    heads = counted.groupBy("root").agg(F.min(place).alias("head"))
+    decided = fixed(
+        counted.join(heads, "root").select(
+            F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "n", (place == F.col("head")).alias("first")
+        )
+    )
+    gone = broadcast_if_small(decided.filter("not first").select("_id", "_key"), MOST_BROADCAST)
+    own = docs["doc_id"].eqNullSafe(F.col("_id")) & (text_key == F.col("_key"))
+    kept = docs.join(gone, own, "left_anti")
+    again = decided.filter("first and n > 1").select("_id", "_key")
+    if again.isEmpty():
+        return kept
+    again = broadcast_if_small(again, MOST_BROADCAST)
+    keyed = kept.join(again, own, "left_semi").withColumn("_text_key", text_key)
+    one = keyed.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    return kept.join(again, own, "left_anti").union(one)

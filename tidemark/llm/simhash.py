@@ -194,7 +194,9 @@ class Forest:
             near = apart
 
 
-def search(forest: Forest, near, spread, queries: np.ndarray, points: np.ndarray, bound: int) -> None:
+def search(
+    forest: Forest, near, spread, queries: np.ndarray, points: np.ndarray, bound: int, block: int = BLOCK
+) -> None:
     """Join all pairs of a query and a point that `near` finds, by a vantage-point tree over the
     points: a branch is left out where no ball of radius `bound` around a query reaches it."""
     if not len(queries) or not len(points):
@@ -205,10 +207,10 @@ def search(forest: Forest, near, spread, queries: np.ndarray, points: np.ndarray
         within = found <= radius
         if not within.all():
             away = spread(queries, points[0])
-            search(forest, near, spread, queries[away <= radius + bound], points[within], bound)
-            search(forest, near, spread, queries[away > radius - bound], points[~within], bound)
+            search(forest, near, spread, queries[away <= radius + bound], points[within], bound, block)
+            search(forest, near, spread, queries[away > radius - bound], points[~within], bound, block)
             return
-    step = max(1, BLOCK // len(points))
+    step = max(1, block // len(points))
     for s in range(0, len(queries), step):
         part = queries[s : s + step]
         found = near(part, points)
@@ -290,32 +292,3 @@ def clustered(docs: DataFrame, words: int = 3, bound: int = 2) -> DataFrame:
     rows = fixed(docs.select("doc_id", fingerprint(docs["text"], words).alias("fp")))
     prints = fixed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     return named(rows, prints, edges(prints, bound))
-
-
-def without_copies(docs: DataFrame, found: DataFrame, print_of) -> DataFrame:
-    """One document of each component of found (doc_id, fp, component_id), that with the
-    smallest id. print_of(text) is the fingerprint that found has as fp.
-
-    Rows that share an id are one document, of which any row stays. Rows without an id go if
-    their component has an id; else one of each fingerprint stays.
-    """
-    found = fixed(found.select("doc_id", "fp", "component_id"))
-    copies = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    heads = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    repeated = fixed(heads.filter("n > 1").select("doc_id"))
-    kept = docs.filter("doc_id is not null").join(
-        broadcast_if_small(fixed(copies), MOST_BROADCAST), "doc_id", "left_anti"
-    )
-    parts = [kept]
-    if not repeated.isEmpty():
-        parts = [kept.join(repeated, "doc_id", "left_anti")]
-        parts.append(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    if not found.filter("doc_id is null").isEmpty():
-        lone = found.filter("component_id is null").select("fp").distinct()
-        keyed = docs.filter("doc_id is null").withColumn("_fp", print_of(docs["text"]))
-        one = keyed.join(lone, keyed["_fp"] == lone["fp"], "left_semi").dropDuplicates(["_fp"])
-        parts.append(one)
-    out = parts[0].select(docs.columns)
-    for part in parts[1:]:
-        out = out.union(part.select(docs.columns))
-    return out
