@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from conftest import rows
@@ -233,13 +234,19 @@ def merged(lines):
     return result
 
 
-@pytest.mark.parametrize("line_topics", [1000, 1])
-def test_summary_documents(prepared, tables, line_topics):
-    lines = documents.summary_documents(prepared, tables.topic_configs, line_topics)
-    lines = lines.filter("snapshot_id = 2").collect()
-    if line_topics == 1000:
-        assert len(lines) == 4  # one per group
-    whole = merged(lines)
+def joined(path, snapshot):
+    """The files of a written document, one after the other by name."""
+    folder = f"{path}/snapshot_id={snapshot}"
+    names = sorted(f for f in os.listdir(folder) if f.endswith(".txt"))
+    return json.loads("".join(open(f"{folder}/{n}").read() for n in names))
+
+
+def test_summary_document(prepared, tables, tmp_path):
+    lines = documents.summary_document(prepared, tables.topic_configs)
+    documents.write_document(lines.repartition(7), str(tmp_path / "out"))
+    for snapshot in (1, 2):
+        whole = joined(str(tmp_path / "out"), snapshot)
+        assert list(whole) == ["a", "b", "late", "mute"] == sorted(whole)
     assert whole["mute"] == {"state": "EMPTY", "topics": {}}
     assert set(whole["a"]["topics"]) == {"t1", "t2"}
     assert whole["a"]["topics"]["t1"] == {
@@ -247,18 +254,31 @@ def test_summary_documents(prepared, tables, line_topics):
         "configs": {"retention.ms": "86400000"},
     }
     assert "configs" not in whole["a"]["topics"]["t2"]
+    assert len(lines.filter("snapshot_id = 2").collect()) == 6  # an entry or an empty group each
+
+
+def test_names_in_documents_are_escaped(make, tmp_path):
+    odd = {'a"b': {"t\\\n": {0: 1}, "é": {0: 1}}, "x,}": {"]}": {0: 1}}}
+    ends = {topic: {0: 9} for topics in odd.values() for topic in topics}
+    tables = make.tables({5: odd}, {5: ends}, groups=[group(5, g) for g in odd])
+    documents.write_document(documents.summary_document(prepare(tables)), str(tmp_path / "out"))
+    whole = joined(str(tmp_path / "out"), 5)
+    assert {g: set(v["topics"]) for g, v in whole.items()} == {g: set(t) for g, t in odd.items()}
 
 
 def test_other_documents(prepared, tables, tmp_path):
     status = merged(documents.status_documents(prepared).collect())
     assert status["late-t3"]["rate"]["status"] == "ERROR"
-    topics = merged(documents.topic_documents(tables.topic_partitions, parts=True).collect())
+    def topic_document(name, **more):
+        documents.write_document(documents.topic_document(tables.topic_partitions, **more), str(tmp_path / name))
+        return joined(str(tmp_path / name), 2)
+
+    topics = topic_document("parts", parts=True)
     assert topics["topics"]["lost"] == {"name": "lost", "partitions": 0, "partinfo": []}
     assert topics["topics"]["t3"]["partinfo"][0] == {
         "id": 0, "leader": 2, "replicas": [2, 1, 3], "nisrs": [2, 1]
     }
-    assert "partinfo" not in merged(
-        documents.topic_documents(tables.topic_partitions).collect())["topics"]["t3"]
+    assert topic_document("bare")["topics"]["t3"] == {"name": "t3", "partitions": 2}
     brokers = documents.broker_documents(tables.brokers, "b0", "7")
     assert merged(brokers.collect()) == {
         "brokers": {"1": {"id": 1, "host": "h1", "port": 9092}}, "broker_name": "b0", "cluster_id": "7"

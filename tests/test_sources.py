@@ -3,6 +3,7 @@ from datetime import timedelta
 
 import pytest
 from conftest import EPOCH, rows
+from pyspark.sql import functions as F
 
 from tidemark import LagTables
 from tidemark.schemas import SCHEMAS
@@ -104,3 +105,47 @@ def test_load_and_prune(make, tmp_path):
 def test_index_covers_every_table(make):
     tables = make.tables({1: {"g": {"t": {0: 1}}}}, {2: {"t": {0: 1}}}, groups=[dict(snapshot_id=7, group_id="g")])
     assert rows(snapshot_index(tables), "snapshot_seq", "snapshot_id") == [(0, 1), (1, 2), (2, 7)]
+
+
+def stable_by_hand(records, polls):
+    """records (topic, partition, producer, offset, second, control), in the order of their offsets."""
+    out = {}
+    for s, t in polls:
+        seen = [r for r in records if r[4] <= t]
+        for key in {(r[0], r[1]) for r in seen}:
+            own, opened = [r for r in seen if (r[0], r[1]) == key], {}
+            for _, _, producer, offset, _, control in own:
+                if control:
+                    opened.pop(producer, None)
+                elif producer is not None:
+                    opened.setdefault(producer, offset)
+            out[(s, *key)] = min([own[-1][3] + 1, *opened.values()])
+    return out
+
+
+def test_last_stable_offsets(spark):
+    rng, records, offsets = random.Random(6), [], {}
+    for second in range(120):
+        key = (rng.choice("xy"), rng.randrange(3))
+        offset = offsets[key] = offsets.get(key, -1) + 1
+        producer = rng.choice([None, 1, 2, 3])
+        control = producer is not None and rng.random() < 0.3
+        records.append((*key, producer, offset, second, control if producer else rng.choice([None, False])))
+    polls = [(i, t) for i, t in enumerate((5, 6, 30, 31, 60, 90, 119, 200))]
+    log = spark.createDataFrame(
+        [(t, p, w, o, EPOCH + timedelta(seconds=s), c) for t, p, w, o, s, c in records],
+        "topic string, partition int, producer_id long, offset long, timestamp timestamp, control boolean",
+    )
+    times = spark.createDataFrame([(i, EPOCH + timedelta(seconds=t)) for i, t in polls], "snapshot_id long, t timestamp")
+    index = times.select("snapshot_id", F.col("snapshot_id").alias("snapshot_seq"), F.unix_micros("t").alias("captured_us"))
+    got = end_offsets_from_log(log, index, "read_committed")
+    found = {(r.snapshot_id, r.topic, r.partition): r.end_offset for r in got.collect()}
+    assert found == stable_by_hand(records, polls)
+    last = {(r.snapshot_id, r.topic, r.partition): r.end_offset for r in end_offsets_from_log(log, index).collect()}
+    assert last.keys() == found.keys() and sum(last[k] > found[k] for k in found) > 5
+    # Without transactions both are the same.
+    plain = log.withColumn("producer_id", F.lit(None).cast("long"))
+    rows = end_offsets_from_log(plain, index, "read_committed").collect()
+    assert {(r.snapshot_id, r.topic, r.partition): r.end_offset for r in rows} == last
+    with pytest.raises(ValueError):
+        end_offsets_from_log(log, index, "read_all")

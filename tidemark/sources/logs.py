@@ -95,8 +95,21 @@ def _stamped(filled: DataFrame, snapshots: DataFrame, polls: _Polls) -> DataFram
     )
 
 
-def end_offsets_from_log(log: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """topic_offsets from a topic log: the offset after the last record so far."""
+READ_UNCOMMITTED, READ_COMMITTED = "read_uncommitted", "read_committed"
+
+
+def end_offsets_from_log(
+    log: DataFrame, snapshots: DataFrame, isolation: str = READ_UNCOMMITTED
+) -> DataFrame:
+    """topic_offsets from a topic log: the offset after the last record so far.
+
+    With READ_COMMITTED the last stable offset, as a reader of committed records sees it: the
+    first offset of the transactions that are open at the poll, where there are any. The log then
+    has producer_id (null: outside transactions) and control (true: a marker that commits or aborts
+    what its producer has written to the partition since its last one).
+    """
+    if isolation not in (READ_UNCOMMITTED, READ_COMMITTED):
+        raise ValueError(f"isolation must be {READ_UNCOMMITTED} or {READ_COMMITTED}")
     polls = _Polls(snapshots)
     keys = ["topic", "partition"]
     slim = log.select(*keys, "offset", "timestamp")
@@ -111,11 +124,43 @@ def end_offsets_from_log(log: DataFrame, snapshots: DataFrame) -> DataFrame:
     )
     points = points.withColumn("end_offset", F.max("end_offset").over(so_far))
     filled = _fill(points, keys, "end_offset", polls.last_seq)
+    if isolation == READ_COMMITTED:
+        open_ones = _open_transactions(log, polls).groupBy(*keys, "snapshot_seq")
+        stable = open_ones.agg(F.min("first").alias("stable"))
+        filled = filled.join(stable, [*keys, "snapshot_seq"], "left").withColumn(
+            "end_offset", F.least("end_offset", F.coalesce("stable", "end_offset"))
+        )
     return _stamped(filled, snapshots, polls).select(
         "snapshot_id", "captured_at", *keys, "end_offset", "error"
     )
 
 
+def _open_transactions(log: DataFrame, polls: _Polls) -> DataFrame:
+    """topic, partition, producer_id, snapshot_seq and `first`: the first offset of every
+    transaction that is open at a poll.
+
+    Records combine per producer and poll: the last marker, and the first record behind it. So a
+    window has one row per poll, whatever a producer writes; a transaction lasts from its poll to
+    that of the next marker.
+    """
+    own = ["topic", "partition", "producer_id"]
+    slim = log.filter("producer_id is not null").select(
+        *own, "offset", "timestamp", F.coalesce("control", F.lit(False)).alias("control")
+    )
+    placed = _assign(slim, F.col("timestamp"), polls).select(*own, "snapshot_seq", "offset", "control")
+    at = [*own, "snapshot_seq"]
+    ended = placed.filter("control").groupBy(*at).agg(F.max("offset").alias("ended"))
+    behind = placed.filter("not control").join(ended, at, "left")
+    first = behind.filter("ended is null or offset > ended").groupBy(*at).agg(F.min("offset").alias("first"))
+    states = ended.join(first, at, "full")
+    order = Window.partitionBy(*own).orderBy("snapshot_seq")
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    states = states.withColumn("_done", F.count("ended").over(order.rowsBetween(*upto)))
+    since = Window.partitionBy(*own, "_done").orderBy("snapshot_seq").rowsBetween(*upto)
+    states = states.withColumn("first", F.min("first").over(since))
+    return _fill(states, own, "first", polls.last_seq).filter("first is not null")
+
+
 def committed_offsets_from_log(log: DataFrame, snapshots: DataFrame) -> DataFrame:
     """group_offsets from a commit log: the last commit so far (the largest offset among
     commits with the same time)."""

@@ -245,6 +245,23 @@ def oracle_sql() -> dict[str, str]:
     report_columns = "*, group_id as shown_group, topic as shown_topic"
     by_lag = "lag desc, group_id desc, topic desc"
     flat = f"select {key}, "
+    transactions = """
+    tx as (
+      select topic, partition, nullif(event_id % 4, 3) as producer_id, event_id // 4 % 5 = 0 as control,
+             greatest((hour_no + 23) // 24, 1) as poll,
+             row_number() over (partition by topic, partition order by ts, event_id) - 1 as off
+      from (select event_id, ts, event_type as topic,
+                   cast(case when event_type='error'
+                             then case when user_id % 10 < 7 then 0 else user_id % 4 end
+                             else user_id end as int) as partition,
+                   (epoch_us(ts) - 1704067200000000 + 3599999999) // 3600000000 as hour_no from events)),
+    done as (
+      select snapshot_id, topic, partition, producer_id, max(off) filter (control) as ended
+      from snaps join tx on poll <= snapshot_id where producer_id is not null group by all),
+    open_ones as (
+      select snapshot_id, topic, partition, min(off) as stable
+      from done join tx using (topic, partition, producer_id)
+      where poll <= snapshot_id and not control and off > coalesce(ended, -1) group by all)"""
     uneven = """
     uneven as (
       select cast(k as bigint) as k from (select unnest(generate_series(1, 10000)) as k)
@@ -292,6 +309,12 @@ def oracle_sql() -> dict[str, str]:
         "s11_committed_offsets": _query(
             "select snapshot_id, group_id, topic, partition, n as committed_offset from commits"
         ),
+        "s10_stable_offsets": _query(
+            "select t.snapshot_id, t.topic, t.partition, least(end_offset, coalesce(stable, end_offset)) "
+            "as stable_offset, end_offset as last_offset from topic_offsets t left join open_ones "
+            "using (snapshot_id, topic, partition)",
+            transactions,
+        ),
         "s10_uneven_polls": _query(
             "select k as snapshot_id, topic, partition, cast(n as bigint) as end_offset "
             "from uneven join cum on h = k * k where n > 0",
@@ -719,6 +742,14 @@ def oracle_sql() -> dict[str, str]:
     sql["d1_detail_wide"] = _wide(_query("select * from ranked", full, _DETAIL))
     # The JSON forms hold the same values.
     sql["o1_summary_json"] = sql["r3_summary"]
+    by = "partition by snapshot_id order by group_id, topic"
+    sql["o1_document_places"] = f"""select snapshot_id, group_id, topic,
+        case when row_number() over ({by}) = 1 then '{{' else ',' end as opening,
+        case when row_number() over (partition by snapshot_id, group_id order by topic) = 1
+             then '"' || group_id || '":{{"state":"' || state || '","topics":{{' else '' end as head,
+        case when lead(topic) over ({by}) is null or lead(group_id) over ({by}) <> group_id then '}}}}'
+             else '' end || case when lead(group_id) over ({by}) is null then '}}' else '' end as closing
+        from ({sql["r3_summary"]})"""
     sql["o2_status_json"] = sql["r2_status"]
     sql["o3_topic_json"] = sql["t2_topic_info_parts"]
     return sql

@@ -135,6 +135,14 @@ def s11_committed_offsets(v):
     )
 
 
+@_on_views
+def s10_stable_offsets(v):
+    ends = v.end_offsets().select(*PARTITION_KEY, F.col("end_offset").alias("last_offset"))
+    return v.stable_offsets().join(ends, PARTITION_KEY).select(
+        *PARTITION_KEY, F.col("end_offset").alias("stable_offset"), "last_offset"
+    )
+
+
 @_on_views
 def s10_uneven_polls(v):
     return v.end_offsets(v.uneven_index()).select(*PARTITION_KEY, "end_offset")
@@ -604,22 +612,26 @@ def r3_summary(t):
 
 @_on_tables
 def o1_summary_json(t):
-    """Written as JSON and read back, so that values and not spellings are compared."""
-    lines = documents.summary_documents(prepare(t), t.topic_configs)
-    shape = (
-        "map<string,struct<state:string,topics:map<string,struct<partitions:bigint,"
-        "lag_max:bigint,lag_min:bigint,par:double,cv:double,configs:map<string,string>>>>>"
-    )
-    groups = lines.select("snapshot_id", F.explode(F.from_json("document", shape)))
-    topics = groups.select(
-        "snapshot_id",
-        F.col("key").alias("group_id"),
-        "value.state",
-        F.explode_outer("value.topics").alias("topic", "v"),
-    )
-    return topics.select("snapshot_id", "group_id", "state", "topic", "v.*").withColumn(
-        "configs", _map_text("configs")
+    """The lines of the document read back, so that values and not spellings are compared."""
+    lines = documents.summary_document(prepare(t), t.topic_configs)
+    body = (
+        "struct<partitions:bigint,lag_max:bigint,lag_min:bigint,par:double,cv:double,"
+        "configs:map<string,string>>"
     )
+    read = lambda c, end, shape: F.from_json(F.concat(F.lit("{"), F.col(c), F.lit(end)), f"map<string,{shape}>")
+    keys = ["snapshot_id", "group_id"]
+    groups = lines.filter("head <> ''").select("snapshot_id", F.explode(read("head", "}}}", "struct<state:string>")))
+    groups = groups.select("snapshot_id", F.col("key").alias("group_id"), "value.state")
+    topics = lines.select(*keys, F.explode_outer(read("entry", "}", body)).alias("topic", "v"))
+    joined = groups.join(topics, keys).select(*keys, "state", "topic", "v.*")
+    return joined.withColumn("configs", _map_text("configs"))
+
+
+@_on_tables
+def o1_document_places(t):
+    """What the lines open and close: a document of any size is put together without being seen."""
+    lines = documents.summary_document(prepare(t), t.topic_configs)
+    return lines.select(*STATS_KEY, "opening", "head", "closing")
 
 
 @_on_prepared()
@@ -634,15 +646,15 @@ def o2_status_json(p):
 
 @_on_tables
 def o3_topic_json(t):
-    shape = (
-        "struct<topics:map<string,struct<name:string,partitions:bigint,partinfo:array<struct<"
-        "id:int,leader:int,replicas:array<int>,nisrs:array<int>>>>>>"
-    )
-    read = documents.topic_documents(t.topic_partitions, parts=True).select(
-        "snapshot_id", F.explode(F.from_json("document", shape)["topics"])
+    shape = "struct<id:int,leader:int,replicas:array<int>,nisrs:array<int>>"
+    head = "map<string,struct<name:string,partitions:bigint,partinfo:array<int>>>"
+    lines = documents.topic_document(t.topic_partitions, parts=True)
+    heads = lines.filter("head <> ''").select(
+        "snapshot_id", F.explode(F.from_json(F.concat(F.lit("{"), "head", F.lit("]}}")), head))
     )
-    parts = read.select("snapshot_id", F.explode("value.partinfo").alias("p"), "value.name")
-    return parts.select(
+    names = heads.select("snapshot_id", F.col("key").alias("topic"), "value.name")
+    parts = lines.filter("entry <> ''").select("snapshot_id", "topic", F.from_json("entry", shape).alias("p"))
+    return names.join(parts, ["snapshot_id", "topic"]).select(
         "snapshot_id",
         F.col("name").alias("topic"),
         F.col("p.id").alias("partition"),

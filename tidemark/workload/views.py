@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark.session import shared_dir
-from tidemark.sources.logs import committed_offsets_from_log, end_offsets_from_log
+from tidemark.sources.logs import (
+    READ_COMMITTED,
+    committed_offsets_from_log,
+    end_offsets_from_log,
+)
 from tidemark.sources.snapshots import snapshot_index
 from tidemark.sources.tables import LagTables, group_scan
 from tidemark.streaming.closed import closing_row
@@ -91,8 +95,8 @@ def _hour(column: str = "timestamp"):
     return F.expr(f"(unix_micros({column}) - {EPOCH_US} + {HOUR_US - 1}) div {HOUR_US}")
 
 
-def topic_log(records: DataFrame) -> DataFrame:
-    """Give every record its offset. Offsets count up per minute of a partition and start
+def topic_log(records: DataFrame, *more: str) -> DataFrame:
+    """Give every record its offset; `more` columns of the records go along. Offsets count up per minute of a partition and start
     from the count of the minutes before, so a busy partition spreads over its minutes."""
     keys = ["topic", "partition"]
     rows = records.withColumn("minute", F.expr("unix_micros(timestamp) div 60000000"))
@@ -109,9 +113,17 @@ def topic_log(records: DataFrame) -> DataFrame:
         *keys,
         (F.col("start") + F.row_number().over(within) - 1).alias("offset"),
         "timestamp",
+        *more,
     )
 
 
+def transactional(records: DataFrame) -> DataFrame:
+    """A topic log with transactions: of four events in a row three belong to a producer each, and
+    every fifth of a producer's events is its marker."""
+    log = topic_log(records, "event_id").withColumn("producer_id", F.expr("nullif(event_id % 4, 3)"))
+    return log.withColumn("control", F.expr("event_id div 4 % 5 = 0")).drop("event_id")
+
+
 def daily_snapshots(records: DataFrame) -> DataFrame:
     """One poll at the end of every day that the records reach."""
     days = records.agg(F.ceil(F.max(_hour()) / 24).alias("days"))
@@ -246,6 +258,9 @@ class Views:
     def end_offsets(self, index: DataFrame | None = None) -> DataFrame:
         return end_offsets_from_log(topic_log(self.records), index or self.index)
 
+    def stable_offsets(self) -> DataFrame:
+        return end_offsets_from_log(transactional(self.records), self.index, READ_COMMITTED)
+
     def commits(self) -> DataFrame:
         return commit_log(self.records, self.snapshots)
 
