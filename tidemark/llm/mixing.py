@@ -132,13 +132,15 @@ def document_key(doc_id: Column, text: Column, seed: str = "mix") -> Column:
 
 
 def places(docs: DataFrame) -> DataFrame:
-    """source, key, unit (words of one row), n (rows) and size (words of all), computed once. Rows
-    of one key and size are one place, so that copies of a text make no hot key."""
+    """source, key, n (rows), size (words of all) and unit (words of one row), computed once. Rows of
+    one key are one place, so that copies of a text make no hot key."""
     keyed = docs.select(
         "source", document_key(docs["doc_id"], docs["text"]).alias("key"), word_count(docs["text"]).alias("unit")
     )
-    counted = keyed.groupBy("source", "key", "unit").agg(F.count("*").alias("n"))
-    return fixed(counted.withColumn("size", F.col("n") * F.col("unit")).withColumn("doc_id", F.lit(None).cast("long")))
+    counted = keyed.groupBy("source", "key").agg(
+        F.count("*").alias("n"), F.sum("unit").alias("size"), F.max("unit").alias("unit")
+    )
+    return fixed(counted.withColumn("doc_id", F.lit(None).cast("long")))
 
 
 def mixed_documents(docs: DataFrame, rows: DataFrame, goals: DataFrame) -> DataFrame:
@@ -157,25 +159,22 @@ def mixed_documents(docs: DataFrame, rows: DataFrame, goals: DataFrame) -> DataF
     fit = F.when(F.col("unit") > 0, F.expr("(2 * part + unit) div (2 * unit)")).otherwise(
         F.when(F.col("before") < F.col("rest"), F.col("n")).otherwise(0)
     )
-    place = F.struct("key", "unit")
     cuts = (
         joined.withColumn("part", part).withColumn("fit", fit)
         .groupBy(F.col("source").alias("_mix_source"))
         .agg(
             F.first("epochs").alias("_mix_epochs"),
-            F.max(F.when(F.col("fit") == F.col("n"), place)).alias("_mix_cut"),
+            F.max(F.when(F.col("fit") == F.col("n"), F.col("key"))).alias("_mix_cut"),
             # Whole places lie before the cut, so at most one is taken in part.
-            F.max(F.when((F.col("fit") > 0) & (F.col("fit") < F.col("n")), F.struct(place.alias("place"), "fit"))).alias("_mix_tie"),
+            F.max(F.when((F.col("fit") > 0) & (F.col("fit") < F.col("n")), F.struct("key", "fit"))).alias("_mix_tie"),
         )
     )
     cuts = fixed(cuts)
     small = broadcast_if_small(cuts, MOST_BROADCAST)
-    key = F.struct(
-        document_key(docs["doc_id"], docs["text"]).alias("key"), word_count(docs["text"]).alias("unit")
-    )
-    joined = docs.join(small, docs["source"].eqNullSafe(small["_mix_source"])).withColumn("_mix_place", key)
-    tied = F.coalesce(F.col("_mix_place") == F.col("_mix_tie.place"), F.lit(False))
-    once_more = F.coalesce((F.col("_mix_place") <= F.col("_mix_cut")).cast("long"), F.lit(0))
+    key = document_key(docs["doc_id"], docs["text"])
+    joined = docs.join(small, docs["source"].eqNullSafe(small["_mix_source"])).withColumn("_mix_key", key)
+    tied = F.coalesce(F.col("_mix_key") == F.col("_mix_tie.key"), F.lit(False))
+    once_more = F.coalesce((F.col("_mix_key") <= F.col("_mix_cut")).cast("long"), F.lit(0))
     taken = _repeated(joined.filter(~tied), F.col("_mix_epochs") + once_more, docs.columns)
     if cuts.filter("_mix_tie is not null").isEmpty():
         return taken

@@ -22,8 +22,12 @@ everywhere, a shard returns a spanning forest, never its pairs.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +51,14 @@ _SALTS = np.arange(PARTS, dtype=np.uint64) * _SALT
 FIELDS = "node long, f0 long, f1 long, f2 long, f3 long, n int, low array<long>"
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Workers live on from stage to stage, and arrays of many
+    sizes leave an allocator with far more than it uses."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def words_hash(text: bytes) -> int:
     """Signed hash of the words of a text, A-Z lower-cased; 0 without words."""
     parts = text.lower().split()
@@ -57,7 +69,9 @@ def words_hash(text: bytes) -> int:
 def node_of(text: Column) -> Column:
     @F.pandas_udf("long")
     def nodes(texts: pd.Series) -> pd.Series:
-        return pd.Series([words_hash(t) for t in utf8(texts)], dtype=np.int64)
+        made = pd.Series([words_hash(t) for t in utf8(texts)], dtype=np.int64)
+        give_back()
+        return made
 
     return nodes(text)
 
@@ -77,7 +91,9 @@ def sketch(text: Column, words: int = WORDS) -> Column:
     @F.pandas_udf(FIELDS)
     def sketches(texts: pd.Series) -> pd.DataFrame:
         names = [f.split()[0] for f in FIELDS.split(", ")]
-        return pd.DataFrame([sketch_of(t, words) for t in utf8(texts)], columns=names)
+        made = pd.DataFrame([sketch_of(t, words) for t in utf8(texts)], columns=names)
+        give_back()
+        return made
 
     return sketches(text)
 
@@ -176,6 +192,8 @@ def forests(frame: pd.DataFrame, group: str, roots) -> pd.DataFrame:
         u.append(node[a + far])
         v.append(node[a + top[far]])
     none = np.zeros(0, np.int64)
+    if len(frame) > 1000:
+        give_back()
     return pd.DataFrame({"u": np.concatenate([*u, none]), "v": np.concatenate([*v, none])})
 
 
