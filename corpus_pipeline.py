@@ -5,11 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, mixing, resemblance, shards, simhash, toxicity
+from tidemark.llm import decontaminate, mixing, resemblance, shards, toxicity
 from tidemark.llm.classify import score
 from tidemark.session import shared_dir
 
 SHARDS = 24
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: No SQL: the first stage trains a classifier. tests/llm compares the other stages with brute
 #: force, each on its own input.
@@ -20,8 +22,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of at most BATCH_ROWS rows from here on: a batch is held
+    several times over, by the JVM and by every Python worker of an executor."""
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; empty ones stay."""
+    _small_batches(spark)
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
     return docs.filter(score(model, docs["text"]) < 0.5)
 
@@ -29,17 +39,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity 0.8): that with the
     smallest id."""
-    return simhash.without_copies(docs, resemblance.clustered(docs), resemblance.print_of())
+    _small_batches(spark)
+    return resemblance.without_copies(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    _small_batches(spark)
     return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of all sources; a document that two epochs take comes twice."""
-    rows = mixing.sized(docs)
+    rows = mixing.places(docs)
     return mixing.mixed_documents(docs, rows, mixing.targets(rows))
 
 
