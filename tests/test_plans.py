@@ -2,6 +2,7 @@
 
 import os
 import re
+from datetime import date
 
 import pytest
 
@@ -11,7 +12,8 @@ from tidemark.operators.lag import lag_stats, partition_lag
 from tidemark.operators.rates import arrival_rates, group_rates, partition_rates
 from tidemark.plans.reports import partition_detail
 from tidemark.workload import queries as registered
-from tidemark.workload.views import stored_tables
+from tidemark.sources.layout import load_bucketed
+from tidemark.workload.views import bucketed_name, bucketed_tables, stored_tables
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
@@ -75,3 +77,16 @@ def test_detail_ranks_without_another_shuffle(prepared):
 def test_aggregates_combine_before_the_shuffle(prepared):
     for df in (lag_stats(prepared, median=False), arrival_rates(prepared)):
         assert "partial_sum" in plan(df)
+
+
+def test_bucketed_lag_has_no_shuffle(spark):
+    tables = bucketed_tables(spark, FOLDER)
+    text = plan(partition_lag(prepare(tables)))
+    assert "Exchange hashpartitioning" not in text and text.count("Bucketed: true") == 2
+    some = load_bucketed(
+        spark, bucketed_name(spark, FOLDER), (date(2024, 1, 4), date(2024, 1, 5)), snapshots=tables.snapshots
+    )
+    few = partition_lag(prepare(some))
+    assert re.search(r"PartitionFilters: \[[^\]]*day#", plan(few))
+    want = partition_lag(prepare(stored_tables(spark, FOLDER).between(3, 4), Options(show_empty=True)))
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, want.collect())) != []

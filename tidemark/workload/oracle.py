@@ -741,6 +741,7 @@ def oracle_sql() -> dict[str, str]:
     )
     sql["d1_detail_wide"] = _wide(_query("select * from ranked", full, _DETAIL))
     # The JSON forms hold the same values.
+    sql["j1_bucketed_lag"] = sql["j1_partition_lag"]
     sql["o1_summary_json"] = sql["r3_summary"]
     by = "partition by snapshot_id order by group_id, topic"
     sql["o1_document_places"] = f"""select snapshot_id, group_id, topic,

@@ -28,6 +28,7 @@ from tidemark.streaming.loop import SnapshotLoop, append_parquet
 from tidemark.workload.views import (
     WIDE,
     Views,
+    bucketed_tables,
     stored_folder,
     stored_stream,
     stored_tables,
@@ -200,6 +201,14 @@ def j1_partition_lag(p):
     return lag.partition_lag(p)
 
 
+def j1_bucketed_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over offset tables in buckets: no shuffle."""
+    return lag.partition_lag(prepare(bucketed_tables(spark, sf_dir)))
+
+
+_registry["j1_bucketed_lag"] = j1_bucketed_lag
+
+
 # lag statistics
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark.session import shared_dir
+from tidemark.sources.layout import load_bucketed, store_bucketed
 from tidemark.sources.logs import (
     READ_COMMITTED,
     committed_offsets_from_log,
@@ -339,6 +340,21 @@ def stored_folder(spark: SparkSession, sf_dir: str) -> str:
     return _stored[(spark.sparkContext.applicationId, sf_dir, "user_id")]
 
 
+def bucketed_name(spark: SparkSession, sf_dir: str) -> str:
+    """The name of the same offset tables in buckets, written once per application."""
+    folder = f"{stored_folder(spark, sf_dir)}/bucketed"
+    name = "polls_" + "".join(c if c.isalnum() else "_" for c in folder.split("/")[-2])
+    if folder not in _written:
+        store_bucketed(stored_tables(spark, sf_dir), name, folder, spark.sparkContext.defaultParallelism)
+        _written.add(folder)
+    return name
+
+
+def bucketed_tables(spark: SparkSession, sf_dir: str) -> LagTables:
+    tables, name = stored_tables(spark, sf_dir), bucketed_name(spark, sf_dir)
+    return load_bucketed(spark, name, groups=tables.groups, snapshots=tables.snapshots)
+
+
 # Polls (one file each) that a replayed stream takes in one micro-batch.
 POLLS_A_BATCH = 8
 _written: set[str] = set()
