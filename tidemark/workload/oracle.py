@@ -46,11 +46,22 @@ states as (
     ('g-realtime','STABLE'),('g-steady','STABLE'),('g-slow','STABLE'),('g-stalled','STABLE'),
     ('g-catchup','PREPARING_REBALANCE'),('g-partial','COMPLETING_REBALANCE'),
     ('g-ahead','STABLE'),('g-empty','EMPTY'),('g-silent','DEAD'),('g-ghost','EMPTY'))
-    v(group_id, state)),
+    v(group_id, state)
+  union all
+  select snapshot_id, 'c-' || conv_id,
+         case when conv_id % 17 = 0 then 'STABLE'
+              else case conv_id % 6 when 0 then 'STABLE' when 1 then 'EMPTY'
+                   when 2 then case when roles > 1 then 'STABLE' else 'EMPTY' end when 3 then 'DEAD'
+                   when 4 then 'PREPARING_REBALANCE' else 'COMPLETING_REBALANCE' end end
+  from (select conv_id, count(distinct role) as roles from conversations
+        where conv_id is not null group by conv_id) join snaps on snapshot_id > conv_id % 5),
 configs as (select * from (values
     ('click','flush.ms','60000'),('click','retention.ms','1209600000'),
     ('click','segment.bytes','1073741824'),('click','x.ms','5400000'),
-    ('view','flush.ms','60000'),('view','retention.ms','1209600000')) v(topic, key, value))
+    ('view','flush.ms','60000'),('view','retention.ms','1209600000')) v(topic, key, value)
+  union all select event_type, 'measured.records', cast(count(*) as varchar) from events group by event_type
+  union all select event_type, 'measured.span.ms',
+                   cast((max(epoch_us(ts)) - min(epoch_us(ts))) // 1000 as varchar) from events group by event_type)
 """
 
 

@@ -64,6 +64,8 @@ GROUPS = [
     ("g-silent", "Dead", 0, False),
     ("g-ghost", "", 0, False),
 ]
+# Raw states of the groups of conversations; one is unknown.
+RAW_STATES = ("Stable", "Empty", "Assigning", "Dead", "PreparingRebalance", "CompletingRebalance")
 _GROUP_COLUMNS = ("group_id", "raw_state", "member_count", "describe_failed")
 CONFIGS = [
     ("click", "retention.ms", "1209600000"),
@@ -243,6 +245,7 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str, spread: str = "user_id"):
         events = spark.read.parquet(f"{sf_dir}/events.parquet")
         self.spark = spark
+        self.conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
         self.records = _records(events, spread)
         self.snapshots = daily_snapshots(self.records)
         self.index = self.index_of(self.snapshots)
@@ -266,7 +269,8 @@ class Views:
         return commit_log(self.records, self.snapshots)
 
     def groups(self) -> DataFrame:
-        # The same list at every poll: eleven rows beside each snapshot.
+        """The groups above at every poll, and one for each conversation from one of the first polls
+        on: they read nothing yet, so there are ever more groups without an offset."""
         entry = F.explode(
             F.array(
                 *[
@@ -275,12 +279,28 @@ class Views:
                 ]
             )
         )
-        return self.snapshots.select("snapshot_id", entry.alias("g")).select(
-            "snapshot_id", "g.*", F.lit(False).alias("is_simple")
+        named = self.snapshots.select("snapshot_id", entry.alias("g")).select("snapshot_id", "g.*")
+        last = self.snapshots.agg(F.max("snapshot_id")).first()[0]
+        held = self.conversations.filter("conv_id is not null").groupBy("conv_id")
+        raw = F.element_at(F.array(*map(F.lit, RAW_STATES)), F.expr("cast(conv_id % 6 as int) + 1"))
+        polls = F.sequence(F.expr("conv_id % 5 + 1"), F.lit(last).cast("bigint"))
+        of_conversations = held.agg(F.count_distinct("role").alias("roles")).select(
+            F.explode(polls).alias("snapshot_id"),
+            F.format_string("c-%d", "conv_id").alias("group_id"),
+            raw.alias("raw_state"),
+            (F.col("roles") - 1).cast("int").alias("member_count"),
+            F.expr("conv_id % 17 = 0").alias("describe_failed"),
         )
+        return named.unionByName(of_conversations).withColumn("is_simple", F.lit(False))
 
     def configs(self) -> DataFrame:
-        return self.spark.createDataFrame(CONFIGS, "topic string, key string, value string")
+        """The settings above, and two for each topic that its records give."""
+        fixed_ones = self.spark.createDataFrame(CONFIGS, "topic string, key string, value string")
+        span = F.expr("(max(unix_micros(timestamp)) - min(unix_micros(timestamp))) div 1000")
+        measured = self.records.groupBy("topic").agg(F.count("*").alias("records"), span.alias("span"))
+        setting = lambda key, value: F.struct(F.lit(key).alias("key"), value.cast("string").alias("value"))
+        found = F.explode(F.array(setting("measured.records", F.col("records")), setting("measured.span.ms", F.col("span"))))
+        return fixed_ones.unionByName(measured.select("topic", found.alias("s")).select("topic", "s.*"))
 
     def brokers(self) -> DataFrame:
         rows = [(i, f"host-{i}", 9092) for i in (1, 2, 3)]
