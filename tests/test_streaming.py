@@ -129,6 +129,20 @@ def test_repeated_micro_batch_replaces_its_output(spark, tmp_path):
     same(loop.results(spark), rates(batch(spark, data)), RATE_COLUMNS)
 
 
+def test_loop_writes_new_rows_only(spark, tmp_path):
+    """Micro-batches that come in parts write their own rows; what is not needed goes."""
+    data = polls([0, 3, 4, 11])
+    loop = SnapshotLoop(lambda t: rates(prepare(t)), str(tmp_path / "loop"))
+    parts = [c[k::3] for c in by_snapshot(data) for k in range(3)]
+    for i, part in enumerate(parts):
+        loop(spark.createDataFrame(part, ROWS), i)
+        assert spark.read.parquet(f"{tmp_path}/loop/carried/{i}").count() == len(part)
+    held = {int(f) for f in os.listdir(tmp_path / "loop" / "carried")}
+    assert held == set(range(6, 12))  # the last finished poll and the open one
+    loop.finish(spark, len(parts) - 1)
+    same(loop.results(spark), rates(batch(spark, data)), RATE_COLUMNS)
+
+
 def test_loop_ignores_rows_of_finished_polls(spark, tmp_path):
     data = polls([0, 3, 4])
     loop = SnapshotLoop(lambda t: rates(prepare(t)), str(tmp_path / "loop"))

@@ -52,82 +52,86 @@ def _groups_of(rows: DataFrame) -> DataFrame | None:
     return rows.select("snapshot_id", "group_id", "raw_state", *filled).distinct()
 
 
+DONE = "last bigint, number bigint, newest bigint"
+
+
 @dataclass
 class SnapshotLoop:
     """
     analyse  batch operator: tables of two or more finished snapshots -> result rows
-    folder   shared folder for results (`out`) and carried snapshots (`carried`)
+    folder   shared folder for results (`out`), rows still needed (`carried`) and progress (`done`)
 
     A snapshot counts as finished when a row of a later one arrives; its own rows may be
     spread over any number of micro-batches before that, and are dropped after it. Every
-    micro-batch writes folders named by its id, so a repeated one replaces its own output.
-    The number of a snapshot is carried along, so that pairing and a limit of pairs mean the
-    same as over the whole history.
+    micro-batch writes folders named by its id, so a repeated one replaces its own output. It writes
+    its new rows only; what came before is read from where it was written, and deleted once
+    no open or last finished snapshot has rows in it. The number of a snapshot is kept, so that
+    pairing and a limit of pairs mean the same as over the whole history.
     """
 
     analyse: Callable[[LagTables], DataFrame]
     folder: str
 
-    def _carried(self, batch_id: int) -> str:
-        return f"{self.folder}/carried/{batch_id}"
-
-    def _read(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
-        path = spark._jvm.org.apache.hadoop.fs.Path(self._carried(batch_id))
-        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            return None
-        return spark.read.parquet(self._carried(batch_id))
-
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.withColumn("finished", F.lit(False))
-        fresh = fresh.withColumn("poll_number", F.lit(None).cast("bigint"))
-        before = self._read(spark, batch_id - 1)
-        if before is not None:
-            done = before.filter("finished").agg(F.max("snapshot_id")).first()[0]
-            if done is not None:
-                fresh = fresh.filter(F.col("snapshot_id") > done)
-            rows = before.unionByName(fresh)
-        else:
-            rows = fresh
-        rows = rows.persist()
-        try:
-            newest = rows.agg(F.max("snapshot_id")).first()[0]
-            finished = rows.filter(F.col("snapshot_id") < newest) if newest is not None else rows
-            last = finished.agg(F.max("snapshot_id")).first()[0]
-            if last is not None:
-                since = self._since(finished)
-                self._emit(finished, batch_id, since)
-                polls = finished.agg(F.count_distinct("snapshot_id")).first()[0]
-                rows_kept = rows.filter(F.col("snapshot_id") >= last)
-                rows_kept = rows_kept.withColumn("finished", F.col("snapshot_id") == last)
-                number = F.when(F.col("finished"), F.lit(since + polls - 1))
-                rows_kept = rows_kept.withColumn("poll_number", number.cast("bigint"))
-            else:
-                rows_kept = rows
-            rows_kept.write.mode("overwrite").parquet(self._carried(batch_id))
-        finally:
-            rows.unpersist()
-        self._forget(spark, batch_id - 2)
-
-    @staticmethod
-    def _since(finished: DataFrame) -> int:
-        """The number of the first finished snapshot: the carried one, or the very first."""
-        return finished.agg(F.max("poll_number")).first()[0] or 0
+        last, number = self._state(spark, batch_id)
+        fresh = batch if last is None else batch.filter(F.col("snapshot_id") > last)
+        fresh.write.mode("overwrite").parquet(f"{self.folder}/carried/{batch_id}")
+        rows = self._rows(spark, batch_id + 1, last, batch.schema)
+        newest = rows.agg(F.max("snapshot_id")).first()[0]
+        if newest is not None:
+            finished = rows.filter(F.col("snapshot_id") < newest)
+            polls, latest = finished.agg(F.count_distinct("snapshot_id"), F.max("snapshot_id")).first()
+            if latest is not None and latest != last:
+                self._emit(finished, batch_id, number or 0)
+                last, number = latest, (number or 0) + polls - 1
+        done = spark.createDataFrame([(last, number, newest)], DONE).coalesce(1)
+        done.write.mode("overwrite").parquet(f"{self.folder}/done/{batch_id}")
+        self._forget(spark, batch_id)
+
+    def _ids(self, spark: SparkSession, name: str, before: int) -> list[int]:
+        """The micro-batches before this one that have left such a folder, whole."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/*/_SUCCESS")
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+        return sorted(i for f in found if (i := int(f.getPath().getParent().getName())) < before)
+
+    def _done(self, spark: SparkSession, batch_id: int) -> tuple:
+        return tuple(spark.read.schema(DONE).parquet(f"{self.folder}/done/{batch_id}").first())
+
+    def _state(self, spark: SparkSession, batch_id: int) -> tuple[int | None, int | None]:
+        """The last finished snapshot before this micro-batch, and its number."""
+        ids = self._ids(spark, "done", batch_id)
+        return self._done(spark, ids[-1])[:2] if ids else (None, None)
+
+    def _rows(self, spark: SparkSession, before: int, last: int | None, schema=None) -> DataFrame:
+        """The rows of the last finished snapshot and of later ones."""
+        paths = [f"{self.folder}/carried/{i}" for i in self._ids(spark, "carried", before)]
+        read = spark.read if schema is None else spark.read.schema(schema)
+        rows = read.parquet(*paths)
+        return rows if last is None else rows.filter(F.col("snapshot_id") >= last)
 
     def _emit(self, rows: DataFrame, batch_id: int, since: int) -> None:
-        result = self.analyse(tables_of(rows.drop("finished", "poll_number"), since))
+        result = self.analyse(tables_of(rows, since))
         result.write.mode("overwrite").parquet(f"{self.folder}/out/batch_id={batch_id}")
 
     def _forget(self, spark: SparkSession, batch_id: int) -> None:
-        """A repeated micro-batch needs the state before it, nothing older."""
-        path = spark._jvm.org.apache.hadoop.fs.Path(self._carried(batch_id))
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        """Delete what neither this micro-batch, should it be repeated, nor a later one needs: the
+        rows of micro-batches that saw no snapshot from the last finished one on."""
+        last, _ = self._state(spark, batch_id)
+        for i in self._ids(spark, "carried", batch_id):
+            newest = self._done(spark, i)[2]
+            if newest is not None and (last is None or newest >= last):
+                continue
+            for name in ("carried", "done") if i < batch_id - 1 else ("carried",):
+                path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/{i}")
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def finish(self, spark: SparkSession, last_batch_id: int) -> None:
         """After the stream has ended: also take the newest snapshot as finished."""
-        rows = self._read(spark, last_batch_id)
-        if rows is not None:
-            self._emit(rows, last_batch_id + 1, self._since(rows))
+        last, number = self._state(spark, last_batch_id + 1)
+        if self._ids(spark, "carried", last_batch_id + 1):
+            rows = self._rows(spark, last_batch_id + 1, last)
+            self._emit(rows, last_batch_id + 1, number or 0)
 
     def results(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.folder}/out").drop("batch_id")
