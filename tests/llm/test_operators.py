@@ -585,6 +585,12 @@ def test_lines(make_docs, odd):
         assert (t or "") == "\n".join(kept) and (t is None) == (was is None)
     assert lines.cleaned(odd).columns == odd.columns
     assert lines.per_document(lines.decided(odd.limit(0))).count() == 0
+    assert lines.cleaned(odd.limit(0)).count() == 0
+    rows = [(None, "A\nshared"), (None, "shared\nB"), (1, "x y\nz"), (1, "q\nx y\nx y"), (1, "q\nx y\nx y"), (2, None)]
+    got = Counter((r.doc_id, r.text) for r in lines.cleaned(make_docs(rows)).collect())
+    flat = [x for (_, t), n in got.items() for x in (t or "").split("\n") if x]
+    assert sorted(flat) == sorted(["A", "shared", "B", "x y", "z", "q"]) and sum(got.values()) == len(rows)
+    assert got[2, None] == 1 and max(got.values()) == 2  # equal rows stay equal
     assert by_id(lines.cleaned(odd).filter("doc_id = 5"), "text") == by_id(odd.filter("doc_id = 5"), "text")
 
 

@@ -16,7 +16,8 @@ the shorter one, so only lines that share such a half with another line make var
 a filter, not a cap: no pair is lost. Hashes have 64 bits; different sequences share one with a
 chance of about 2**-60.
 
-Null ids sort last. Rows that share an id are one document; equal places are one line.
+Null ids sort last. In decisions rows that share an id are one document, and equal places are one
+line; `cleaned` tells rows apart by id and text.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.text import chunks, fixed, mixed, tokenize, utf8
+from tidemark.operators.ordering import with_position
 from tidemark.session import broadcast_if_small
 
 LEAST_WORDS = 8
@@ -227,19 +229,42 @@ def per_document(decisions: DataFrame) -> DataFrame:
 
 
 def without_lines(text: Column, dropped: Column) -> Column:
-    """The text without the lines numbered in `dropped`."""
-    kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(dropped, i))
-    return F.array_join(kept, "\n")
+    """The text without the lines numbered in `dropped`; unchanged where that is null."""
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, numbers: pd.Series) -> pd.Series:
+        out = []
+        for t, gone in zip(texts, numbers):
+            if t is not None and gone is not None and len(gone):
+                gone = set(gone)
+                t = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
+            out.append(t)
+        return pd.Series(out, dtype=object)
+
+    return cut(text, dropped)
 
 
 def cleaned(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with repeated lines removed from their text; documents that lose nothing and null
-    texts are as they were."""
-    plan = per_document(decided(docs, least_words)).filter(F.size("dropped") > 0)
-    plan = plan.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.col("dropped").alias("_dropped"))
-    small = broadcast_if_small(fixed(plan), MOST_BROADCAST)
-    joined = docs.join(small, F.coalesce(docs["doc_id"], F.lit(NULL_ID)) == F.col("_id"), "left")
-    text = F.when(F.col("_dropped").isNull(), docs["text"]).otherwise(
-        without_lines(docs["text"], F.col("_dropped"))
+    texts are as they were.
+
+    Here a document is an id with a text: rows that share an id, or have none, lose lines by their
+    own text only, ordered by id (null last) and hash of the text. Rows equal in both are one.
+    """
+    text_key = F.xxhash64("text")
+    units = with_position(
+        docs.select(F.col("doc_id").alias("_doc"), text_key.alias("_text_key")).distinct(),
+        [F.col("_doc").asc_nulls_last(), F.col("_text_key").asc()],
+        [],
+        "_unit",
     )
+    units = broadcast_if_small(fixed(units), MOST_BROADCAST)
+    own = docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_text_key"))
+    keyed = docs.join(units, own)
+    found = decided(keyed.select(F.col("_unit").alias("doc_id"), "text"), least_words)
+    plan = per_document(found).filter(F.size("dropped") > 0)
+    plan = plan.select(F.col("doc_id").alias("_of"), F.col("dropped").alias("_dropped"))
+    small = broadcast_if_small(fixed(plan), MOST_BROADCAST)
+    joined = keyed.join(small, F.col("_unit") == F.col("_of"), "left")
+    text = without_lines(docs["text"], F.col("_dropped"))
     return joined.select(*(text.alias(c) if c == "text" else docs[c] for c in docs.columns))
