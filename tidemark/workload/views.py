@@ -376,7 +376,7 @@ def bucketed_tables(spark: SparkSession, sf_dir: str) -> LagTables:
 
 
 # Polls (one file each) that a replayed stream takes in one micro-batch.
-POLLS_A_BATCH = 8
+POLLS_A_BATCH = 16
 _written: set[str] = set()
 
 
