@@ -28,6 +28,7 @@ from tidemark.llm import (
     toxicity,
     urls,
 )
+from tidemark.llm import queries as llm_queries
 from tidemark.llm.ngrams import features
 
 SCHEMA = (
@@ -210,6 +211,47 @@ def test_slots_and_maps(odd, make_docs, tmp_path, spark):
     assert shards.slot_bytes(odd.limit(0)).sum() == 0
 
 
+def test_current_slot_map(spark, tmp_path):
+    """The newest stored version is used as long as it fits; every edit is stored beside it."""
+    folder, rng = str(tmp_path / "maps"), np.random.default_rng(5)
+    sizes = rng.integers(1, 1000, shards.SLOTS)
+    use = lambda bytes_of, n=24: shards.current_map(spark, folder, bytes_of, n)
+    assert shards.SlotMap.versions(spark, folder) == []
+    first = use(sizes)
+    assert first.version == 1 and (first.shard == shards.first_map(sizes, 24).shard).all()
+    assert (use(sizes).shard == first.shard).all() and shards.SlotMap.versions(spark, folder) == [1]
+    skewed = sizes * (1 + 9 * (first.shard == 3))
+    edited = use(skewed)
+    moved = edited.shard != first.shard
+    assert edited.version == 2 and set(first.shard[moved]) == {3}
+    assert edited.loads(skewed).max() <= 1.01 * skewed.sum() / 24 + skewed[moved].max()
+    more = use(skewed, 25)
+    assert more.version > 2 and more.shards == 25 and (more.loads(skewed) > 0).all()
+    assert use(skewed, 25).version == more.version
+    with pytest.raises(ValueError):
+        use(skewed, 24)
+    assert (shards.SlotMap.load(spark, folder, 1).shard == first.shard).all()
+    # A version whose writing broke off does not count.
+    (tmp_path / "maps" / "version=99").mkdir()
+    assert use(skewed, 25).version == more.version
+
+
+def test_op2_by_hand(spark, tmp_path):
+    rows = [(i, "ü" * (i % 90) if i % 7 else None) for i in range(3000)] + [(5, "again"), (None, "x"), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = llm_queries.op2_virtual_slots(spark, str(tmp_path)).collect()
+    sized = sorted((i is None, i or 0, 8 + len((t or "").encode()), zlib.crc32((t or "").encode())) for i, t in rows)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.size, r.text_crc32) for r in got) == sized
+    loads = np.zeros(24)
+    for k in range(24):
+        own = [r for r in got if r.shard == k]
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+        loads[k] = sum(r.size for r in own)
+    largest = max(Counter(sum([[r.virtual_slot] * r.size for r in got], [])).values())
+    assert loads.max() - loads.min() <= largest
+    assert all(r.law == "bytes" and r.grown_shard is None for r in got)
+
+
 # 3 repetition
 
 

@@ -60,7 +60,8 @@ def op2_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
             shards.virtual_slot(F.col("doc_id"), text).alias("slot"),
         )
     )
-    slots = shards.first_map(shards.measured(rows), SHARDS)
+    maps = f"{shared_dir(spark)}/slot-maps-{uuid.uuid4().hex}"
+    slots = shards.current_map(spark, maps, shards.measured(rows), SHARDS)
     return shards.placed(rows, slots, ["doc_id", "text_crc32", "bytes"]).select(
         "doc_id",
         F.col("bytes").alias("size"),

@@ -5,6 +5,10 @@ from slots to shards: it has a version, is stored as a small table, and is edite
 have grown apart or when shards are added. Records move only with their slot.
 
 Deciding needs the bytes of each slot only, at most SLOTS rows whatever the data's size.
+
+`current_map` is the rule for a folder of stored versions: the newest one as it is while its shards
+are near equal, the next version, stored beside it, once they have grown apart. A version is written
+to a folder of its own and is never changed, so readers of an older one are not disturbed.
 """
 
 from __future__ import annotations
@@ -53,6 +57,16 @@ class SlotMap:
         named = self.frame(spark).withColumn("shards", F.lit(self.shards))
         named.coalesce(1).write.parquet(f"{folder}/version={self.version}")
 
+    @classmethod
+    def versions(cls, spark: SparkSession, folder: str) -> list[int]:
+        """The stored versions, oldest first; none if nothing has been stored there."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/version=*/_SUCCESS")
+        # A version without its mark was never finished.
+        found = files.globStatus(done) if files.exists(path) else []
+        return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
     @classmethod
     def load(cls, spark: SparkSession, folder: str, version: int | None = None) -> SlotMap:
         """A stored version, or the newest."""
@@ -115,6 +129,33 @@ def rebalanced(old: SlotMap, bytes_of: np.ndarray, tolerance: float = 0.01) -> S
     return replace(old, version=old.version + 1, shard=shard)
 
 
+def current_map(
+    spark: SparkSession, folder: str, bytes_of: np.ndarray, shards: int, tolerance: float = 0.01
+) -> SlotMap:
+    """The map to use for these bytes a slot: the newest stored version, read back from the folder.
+
+    Without one, the first map is stored; if shards are more than `tolerance` above the mean, a
+    rebalanced version; if more shards are asked for, a grown one. Fewer shards are an error.
+    """
+    stored = SlotMap.versions(spark, folder)
+    if not stored:
+        made = first_map(bytes_of, shards)
+    else:
+        made = SlotMap.load(spark, folder, stored[-1])
+        if made.shards > shards:
+            raise ValueError(f"the map in {folder} has {made.shards} shards, not {shards}")
+        if made.shards < shards:
+            made = grown(made, bytes_of, shards - made.shards)
+        edited = rebalanced(made, bytes_of, tolerance)
+        lower = made.loads(bytes_of).max() - edited.loads(bytes_of).max()
+        # Rows move only for a gain: what one slot's size leaves uneven makes no new versions.
+        if lower > tolerance * bytes_of.sum() / shards:
+            made = edited
+    if made.version not in stored:
+        made.save(spark, folder)
+    return SlotMap.load(spark, folder, made.version)
+
+
 def grown(old: SlotMap, bytes_of: np.ndarray, more: int = 1) -> SlotMap:
     """The next version with `more` shards: every old shard gives slots until the new ones have
     their share; rows move into new shards only."""
