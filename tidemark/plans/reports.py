@@ -12,9 +12,9 @@ from tidemark.functions import health, text
 from tidemark.operators.clean import Prepared, topic_usage
 from tidemark.operators.lag import lag_stats
 from tidemark.operators.ordering import with_position
+from tidemark.operators.ranks import Ranking
 from tidemark.operators.rates import partition_history, rates
 from tidemark.options import Options, check_pattern
-from tidemark.session import fixed
 from tidemark.sources.tables import config_maps, topic_scan
 
 # Sort key -> (column, descending by default).
@@ -98,12 +98,16 @@ def filter_report(
 
 def sort_columns(key: str | None = None, reverse: bool | None = None) -> list[Column]:
     """Sort order of a report. Ties go by group and topic, and reversing reverses all."""
+    names, down = sort_names(key, reverse)
+    return [F.col(n).desc() if down else F.col(n).asc() for n in names]
+
+
+def sort_names(key: str | None = None, reverse: bool | None = None) -> tuple[list[str], bool]:
+    """The columns of the sort order, and whether all of them descend."""
     column, down = SORT_KEYS[key] if key else ("group_id", False)
     down = down if reverse is None or not key else reverse
     names = list(dict.fromkeys([column, "group_id", "topic"]))
-    if column == "topic":
-        names = ["topic", "group_id"]
-    return [F.col(n).desc() if down else F.col(n).asc() for n in names]
+    return ["topic", "group_id"] if column == "topic" else names, down
 
 
 def legacy_sort_columns(key: str, reverse: bool | None = None) -> list[Column]:
@@ -121,31 +125,41 @@ def sort_report(rows: DataFrame, key: str | None = None, reverse: bool | None =
     return rows.orderBy(*sort_columns(key, reverse))
 
 
+def ranking(rows: DataFrame, key: str | None = None, reverse: bool | None = None) -> Ranking:
+    """The index that positions, pages and searches of one sort order share. Nothing runs until
+    one of them is asked for; keep `ranking(...).stored(folder)` for many questions. Rows that tie
+    go by snapshot, the first one first."""
+    names, down = sort_names(key, reverse)
+    snapshot = F.bitwise_not("snapshot_id") if down else F.col("snapshot_id")
+    return Ranking.of(rows.withColumn("_snapshot", snapshot), [*names, "_snapshot"], down, ["snapshot_id"])
+
+
+def _ranked(rows: DataFrame | Ranking, key: str | None, reverse: bool | None) -> Ranking:
+    return rows if isinstance(rows, Ranking) else ranking(rows, key, reverse)
+
+
 def number_report(
-    rows: DataFrame, key: str | None = None, reverse: bool | None = None
+    rows: DataFrame | Ranking, key: str | None = None, reverse: bool | None = None
 ) -> DataFrame:
-    """Add `position`, from 1 per snapshot, in the sort order."""
-    return with_position(rows, sort_columns(key, reverse), ["snapshot_id"])
+    """Add `position`, from 1 per snapshot, in the sort order. Given a ranking, in its order."""
+    return _ranked(rows, key, reverse).positions().drop("_snapshot")
 
 
 def search_report(
-    rows: DataFrame, needle: str, key: str | None = None, reverse: bool | None = None
+    rows: DataFrame | Ranking, needle: str, key: str | None = None, reverse: bool | None = None
 ) -> DataFrame:
     """Rows whose shown "group topic" contains the text, in any case, with their place
     `match_index` (from 0) in the sorted report of their snapshot."""
+    found = number_report(rows, key, reverse).withColumn("match_index", F.col("position") - 1)
+    found = found.drop("position")
     if not needle:  # no search is on: no match
-        return rows.filter("false").withColumn("match_index", F.lit(0).cast("bigint"))
+        return found.filter("false")
     shown = F.lower(F.concat_ws(" ", "shown_group", "shown_topic"))
-    return (
-        number_report(rows, key, reverse)
-        .withColumn("match_index", F.col("position") - 1)
-        .drop("position")
-        .filter(shown.contains(needle.lower()))
-    )
+    return found.filter(shown.contains(needle.lower()))
 
 
 def page(
-    rows: DataFrame,
+    rows: DataFrame | Ranking,
     offset: int,
     size: int,
     key: str | None = None,
@@ -155,35 +169,20 @@ def page(
     the last row. first_row, last_row, n_rows and percent describe the window. In a report
     of several snapshots, rows that tie go by snapshot.
 
-    The report is sorted once over all tasks and kept; the sizes of the sort ranges tell
-    which rows of which range are meant, so a deep page gathers no more than a first one.
+    Counts per range of the order tell which ranges the page touches; only their rows are sorted, so
+    a deep page costs what a first one does.
     """
-    ranged = fixed(
-        rows.orderBy(*sort_columns(key, reverse), "snapshot_id").withColumn(
-            "_id", F.monotonically_increasing_id()
-        )
-    )
-    # As many rows as the sort has ranges.
-    sizes = ranged.groupBy(F.shiftright("_id", 33).alias("range")).count().orderBy("range")
-    total, places = 0, []
-    for part in sizes.collect():
-        places.append((part["range"] << 33, total, part["count"]))
-        total += part["count"]
-    start = max(0, min(offset, total - 1))
-    end = min(start + size, total)
-    inside = F.lit(False)
-    for first_id, before, n in places:
-        low, high = max(start - before, 0), min(end - before, n)
-        if low < high:
-            inside = inside | F.col("_id").between(first_id + low, first_id + high - 1)
+    total = F.col("total")
+    first = F.greatest(F.lit(0), F.least(F.lit(offset), total - 1))
+    last = F.least(first + size, total)
     return (
-        ranged.filter(inside)
-        .orderBy("_id")
-        .drop("_id")
-        .withColumn("first_row", F.lit(start + 1).cast("bigint"))
-        .withColumn("last_row", F.lit(end).cast("bigint"))
-        .withColumn("n_rows", F.lit(total).cast("bigint"))
-        .withColumn("percent", F.lit(min(100, int(end / total * 100) if total else 0)))
+        _ranked(rows, key, reverse)
+        .page(offset, size)
+        .withColumn("first_row", (first + 1).cast("bigint"))
+        .withColumn("last_row", last.cast("bigint"))
+        .withColumn("n_rows", total.cast("bigint"))
+        .withColumn("percent", F.least(F.lit(100), (last / total * 100).cast("int")))
+        .drop("_snapshot", "position", "total")
     )
 
 
