@@ -11,7 +11,6 @@ from tidemark import schemas as S
 from tidemark.functions import health, text
 from tidemark.operators.clean import Prepared, topic_usage
 from tidemark.operators.lag import lag_stats
-from tidemark.operators.ordering import with_position
 from tidemark.operators.ranks import Ranking
 from tidemark.operators.rates import partition_history, rates
 from tidemark.options import Options, check_pattern
@@ -453,8 +452,12 @@ def number_detail(rows: DataFrame, key: str = "partition") -> DataFrame:
     """Position (from 1) of each partition within its group and topic: by partition, or by
     the largest lag, offset or rate first."""
     column = DETAIL_KEYS[key]
-    order = ([F.coalesce(column, F.lit(0)).desc()] if column else []) + [F.col("partition")]
-    return with_position(rows, order, S.STATS_KEY)
+    by = F.coalesce(column, F.lit(0)) if column else F.lit(0)
+    # Largest first, as an ascending key; a bigint has no negative of its least value.
+    by = -by if column and dict(rows.dtypes)[column] == "double" else F.bitwise_not(by)
+    # The keys of a topic come first, so that it lies in few ranges of the order.
+    order = [*S.STATS_KEY, "_by", "partition"]
+    return Ranking.of(rows.withColumn("_by", by), order, within=S.STATS_KEY).positions().drop("_by")
 
 
 def topic_info(topic_partitions: DataFrame) -> DataFrame:
