@@ -203,3 +203,28 @@ def test_logs_on_a_stream_equal_batch(spark, tmp_path, committed):
     want = (committed_offsets_from_log if committed else end_offsets_from_log)(log, marks)
     same(sink.results(spark), want, ["snapshot_id", "captured_at", *keys, value])
     assert sink.results(spark).filter("snapshot_id = 3").count() == want.filter("snapshot_id = 2").count()
+
+
+def test_polls_are_held_in_files_not_in_keyed_state(spark, tmp_path):
+    """No state operator; a late row is dropped; rows of released polls are deleted; micro-batches
+    are analysed with the settings of the session that started the stream."""
+    data, seen = polls([10 * i for i in range(5)]), []
+    first, rest = by_snapshot(data)[0], by_snapshot(data)[1:]
+
+    def analyse(t, o):
+        seen.append(t.group_offsets.sparkSession.conf.get("spark.sql.adaptive.enabled"))
+        return prepare(t, o).offsets
+
+    tables, streams = tables_of(spark.createDataFrame(data, ROWS)), []
+    for name in ("group_offsets", "topic_offsets"):
+        found = getattr(tables, name).select(*SCHEMAS[name].names).collect()
+        parts = [[r for r in found if r.snapshot_id == s[0][0]] for s in [*rest, first]]
+        parts.append([tuple(at(90) if c == "captured_at" else None for c in SCHEMAS[name].names)])
+        streams.append(files(spark, str(tmp_path / name), SCHEMAS[name], parts))
+    sink = ClosedPolls(analyse, str(tmp_path / "res"))
+    query = sink.run(closed_polls(*streams, 10, "0 seconds"))
+    query.awaitTermination()
+    assert all(not p["stateOperators"] for p in query.recentProgress)
+    assert {r.snapshot_id for r in sink.results(spark).collect()} == {2, 3, 4, 5}
+    assert set(seen) == {"true"}
+    assert len(os.listdir(tmp_path / "res" / "held")) < len(query.recentProgress)

@@ -159,3 +159,11 @@ def test_legacy_statistics(make):
     tables = make.tables({1: {"g": {"t": {0: 1}}}}, {1: {"other": {0: 5}}})
     assert rows(lag_stats(prepare(tables, Options(legacy=True))), "n_parts", "lag_sum",
                 "lag_median") == [(0, 0, 0.0)]
+
+
+def test_middle_of_counted_values(spark):
+    """A value that counts n times is as n rows."""
+    data = [("a", 5, 3), ("a", -1, 2), ("b", 1 << 50, 1), ("b", 7, 1), ("c", 4, 9)]
+    df = spark.createDataFrame(data, "k string, v bigint, n bigint")
+    got = {r.k: (r.low, r.high) for r in ordering.exact_middle(df, ["k"], "v", "n").collect()}
+    assert got == {"a": (5, 5), "b": (7, 1 << 50), "c": (4, 4)}
