@@ -7,7 +7,8 @@ from datetime import date
 import pytest
 
 from tidemark import Options
-from tidemark.operators.clean import prepare
+from tidemark.operators import clean
+from tidemark.operators.clean import Prepared, prepare
 from tidemark.operators.lag import lag_stats, partition_lag
 from tidemark.operators.rates import arrival_rates, group_rates, partition_rates
 from tidemark.plans.reports import partition_detail
@@ -90,3 +91,36 @@ def test_bucketed_lag_has_no_shuffle(spark):
     assert re.search(r"PartitionFilters: \[[^\]]*day#", plan(few))
     want = partition_lag(prepare(stored_tables(spark, FOLDER).between(3, 4), Options(show_empty=True)))
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_tasks_of_the_pairs_follow_the_rows(spark, prepared, monkeypatch):
+    """Spark would merge partitions by their compressed bytes, whatever a task then sorts. The partition
+    leads the sort, as polls and topics are the same in very many rows."""
+    rows = prepared.given.count()
+    monkeypatch.setattr(clean, "ROWS_A_TASK", rows // 9)
+    assert prepared.tasks() in (9, 10)
+    text = plan(partition_rates(prepared))
+    assert re.search(rf"hashpartitioning\(block[^)]*, {prepared.tasks()}\), REPARTITION_BY_NUM", text)
+    assert re.search(r"Sort \[partition#\d+ ASC[^\]]*block", text)
+
+
+def test_details_are_numbered_in_one_pass(spark):
+    """Up to TOPIC_ROWS partitions the rows are shuffled once for all orders, and nothing is sampled."""
+    for name in ("p4_detail_sorted", "p4_detail_sort_keys"):
+        text = plan(registered.queries()[name](spark, FOLDER))
+        assert text.count("hashpartitioning(snapshot_id") - text.count("hashpartitioning(snapshot_id#0") == 1
+        assert "min_by" not in text and "Subquery" not in text
+
+
+@pytest.mark.parametrize("limits", [(4096, 1 << 20), (4, 1 << 20), (4, 4)])
+def test_detail_is_the_same_by_any_width(spark, monkeypatch, limits):
+    """Ranges of a topic by its chunk, by one shuffle of whole topics, or by a join of the extremes."""
+    tables = stored_tables(spark, FOLDER)
+    ready = prepare(tables, Options(include="^g-s"))
+    want = sorted(map(tuple, partition_detail(ready, tables.topic_partitions).collect()))
+    top = ready.end_offsets.agg({"partition": "max"}).first()[0]
+    monkeypatch.setattr(Prepared, "is_narrow", lambda self, at_most=4096: at_most == limits[0] > top)
+    if limits[1] > 4:
+        monkeypatch.setattr(Prepared, "is_narrow", lambda self, at_most=4096: (limits[0] if at_most == 4096 else at_most) > top)
+    found = partition_detail(ready, tables.topic_partitions)
+    assert sorted(map(tuple, found.collect())) == want != []
