@@ -178,3 +178,16 @@ def test_loop_hides_empty_groups(spark, tmp_path):
     loop.finish(spark, i)
     groups = {r.group_id for r in loop.results(spark).collect()}
     assert groups == {r[2] for r in data} - {gone}
+
+
+def test_loop_analyses_in_the_session_it_was_started_from(spark, tmp_path):
+    """Spark turns adaptive execution off in a micro-batch's own session."""
+    seen = []
+
+    def analyse(t):
+        seen.append(t.group_offsets.sparkSession.conf.get("spark.sql.adaptive.enabled"))
+        return rates(prepare(t))
+
+    loop = SnapshotLoop(analyse, str(tmp_path / "loop"))
+    loop.run(arrive(spark, str(tmp_path / "in"), by_snapshot(polls([0, 3, 4])))).awaitTermination()
+    assert set(seen) == {"true"}
