@@ -228,3 +228,22 @@ def test_polls_are_held_in_files_not_in_keyed_state(spark, tmp_path):
     assert {r.snapshot_id for r in sink.results(spark).collect()} == {2, 3, 4, 5}
     assert set(seen) == {"true"}
     assert len(os.listdir(tmp_path / "res" / "held")) < len(query.recentProgress)
+
+
+def test_log_records_are_held_in_files_not_in_keyed_state(spark, tmp_path):
+    """No state operator, late records are dropped, and a repeated micro-batch replaces its output."""
+    order = "topic string, partition int, offset bigint, timestamp timestamp"
+    parts = [
+        [("x", 0, 0, at(5)), ("x", 1, 4, at(9))], [(None, None, 1, at(10))], [("x", 0, 3, at(15))],
+        [("x", 0, 99, at(2))], [(None, None, 2, at(20)), (None, None, None, at(40))],
+    ]
+    stream = files(spark, str(tmp_path / "log"), order, parts)
+    sink = OffsetsAtPolls(str(tmp_path / "res"))
+    query = sink.run(end_offset_points(stream, 10, "0 seconds"))
+    query.awaitTermination()
+    assert all(not p["stateOperators"] for p in query.recentProgress)
+    want = [(1, 0, 1), (1, 1, 5), (2, 0, 4), (2, 1, 5)]
+    found = lambda: sorted(map(tuple, sink.results(spark).select("snapshot_id", "partition", "end_offset").collect()))
+    assert found() == want
+    sink(end_offset_points(spark.createDataFrame(parts[-1], order), 10, "0 seconds"), len(parts) - 1)
+    assert found() == want
