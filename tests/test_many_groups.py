@@ -104,3 +104,9 @@ def test_a_session_takes_the_factor_unless_it_has_one(spark):
     other.conf.unset(name)
     small_tasks(other)
     assert float(other.conf.get(name)) > 1
+
+
+def test_the_followed_row_of_many_groups(tables):  # a13_follow
+    followed = reports.follow(reports.report(prepare(tables)))
+    assert only_small(followed)
+    assert rows(followed, *KEYS, "lag") == [(2, "b", "t", 200)]
