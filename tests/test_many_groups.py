@@ -10,6 +10,7 @@ from tidemark import LagTables, Options
 from tidemark.operators import clean
 from tidemark.operators.clean import prepare
 from tidemark.operators.lag import lag_stats
+from tidemark.operators.rates import rates
 from tidemark.plans import reports
 from tidemark.schemas import SCHEMAS
 from tidemark.session import broadcast_by_count, small_tasks
@@ -110,3 +111,9 @@ def test_the_followed_row_of_many_groups(tables):  # a13_follow
     followed = reports.follow(reports.report(prepare(tables)))
     assert only_small(followed)
     assert rows(followed, *KEYS, "lag") == [(2, "b", "t", 200)]
+
+
+def test_simple_etas_of_many_groups(tables):  # k6_eta_simple
+    simple = rates(prepare(tables, Options(eta_method="simple")))
+    assert only_small(simple)
+    assert rows(simple, *KEYS, "remaining_sec") == [(2, "a", "t", 28), (2, "b", "t", -1)]
