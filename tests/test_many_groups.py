@@ -1,9 +1,10 @@
 """Very many groups, few of them with offsets: the table of groups is a small file and a large hash table."""
 
 import re
+from datetime import timedelta
 
 import pytest
-from conftest import rows
+from conftest import EPOCH, rows
 from pyspark.sql import functions as F
 
 from tidemark import LagTables, Options
@@ -14,6 +15,7 @@ from tidemark.operators.rates import rates
 from tidemark.plans import reports
 from tidemark.schemas import SCHEMAS
 from tidemark.session import broadcast_by_count, small_tasks
+from tidemark.streaming.closed import ClosedPolls
 
 MANY = 120_000
 # Committed offsets of partition 0 at the polls 1 and 2; ends are 100 and 200.
@@ -117,3 +119,20 @@ def test_simple_etas_of_many_groups(tables):  # k6_eta_simple
     simple = rates(prepare(tables, Options(eta_method="simple")))
     assert only_small(simple)
     assert rows(simple, *KEYS, "remaining_sec") == [(2, "a", "t", 28), (2, "b", "t", -1)]
+
+
+def test_a_micro_batch_with_many_groups(spark, tables, tmp_path):  # x2_streaming_rates
+    seen = []
+
+    def analyse(t, options):
+        seen.append(rates(prepare(t, options)))
+        return seen[-1]
+
+    time = {s: EPOCH + timedelta(seconds=10 * s) for s in (1, 2)}
+    kept = [(s, time[s], "group", g, "t", 0, o[s - 1], None) for s in time for g, o in OFFSETS.items()]
+    ends = [(s, time[s], "topic", None, "t", 0, 100 * s, None) for s in time]
+    columns = "snapshot_id bigint, captured_at timestamp, kind string, group_id string, topic string, partition int, offset bigint, error string"
+    sink = ClosedPolls(analyse, str(tmp_path), pairs=True, groups=tables.groups)
+    sink(spark.createDataFrame(kept + ends, columns), 0)
+    assert len(seen) == 1 and only_small(seen[0])
+    assert rows(sink.results(spark), *KEYS, "events_consumed", "lag_sum") == [(2, "a", "t", 50, 140), (2, "b", "t", 0, 200)]
